@@ -21,8 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-COARSE = 16
-BUCKETS = COARSE * COARSE
+LEVELS = 8
+BUCKETS = 1 << LEVELS
 _ALL = "_all_rows"
 
 
@@ -32,11 +32,11 @@ def _keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def _bucket(value: Column, bounds: Column) -> Column:
-    """Number of bounds at or below the value, by a two-step search."""
-    coarse = F.filter(bounds, lambda b, i: (i % COARSE == COARSE - 1) & (b <= value))
-    start = F.size(coarse) * COARSE
-    fine = F.filter(F.slice(bounds, start + 1, COARSE), lambda b: b <= value)
-    return start + F.size(fine)
+    """Number of bounds at or below the value, halving the array each step."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(LEVELS))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= value, at + step).otherwise(at)
+    )
 
 
 def distinct_totals(df: DataFrame, value: str, sums: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
@@ -117,58 +117,59 @@ def quantile_points(
 ) -> DataFrame:
     """Linearly interpolated quantiles of a table made by ``prefix_totals``.
 
-    By default the ``points`` evenly spaced ones from 0 to 1. Returns, per group
-    and grid position ``j``, the quantile ``q``, the order statistics ``lo`` and
-    ``hi`` it lies between and their ``payload`` columns (prefixed the same way).
-    Grid positions are kept as integer fractions, so ranks are exact.
+    By default the ``points`` evenly spaced ones from 0 to 1, else those at the
+    integer fractions ``probabilities``. Returns, per group and position ``j``,
+    the quantile ``q``, the order statistics ``lo`` and ``hi`` it lies between
+    and their ``payload`` columns (prefixed the same way).
+
+    A distinct value covers the ranks [below, below + n). It works out by itself
+    which positions ask for one of them and emits those, so a grid costs one pass
+    and one aggregate of grid size, without pairing values and positions.
     """
-    fractions = list(probabilities) if probabilities is not None else [(j, points - 1) for j in range(points)]
     prefix, keys = _keys(prefix.where(F.col(weight) > 0), groups)
-    sizes = prefix.groupBy(*keys).agg(F.max(f"{weight}_all").cast("bigint").alias("_n"))
-    grid = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for i, (a, b) in enumerate(fractions)])
-    targets = sizes.select(*keys, "_n", F.explode(grid).alias("g")).select(
-        *keys,
-        F.col("g.j").alias("j"),
-        F.expr("(_n - 1) * g.a div g.b").alias("_rank"),
-        (F.expr("(_n - 1) * g.a % g.b") / F.col("g.b")).alias("_frac"),
-        "_n",
-    )
-    wanted = targets.groupBy(*keys).agg(
-        F.array_sort(
-            F.array_distinct(
-                F.flatten(F.collect_list(F.array(F.col("_rank"), F.least(F.col("_rank") + 1, F.col("_n") - 1))))
-            )
-        ).alias("_ranks")
+    whole = lambda c: F.col(c).cast("bigint")
+    rows = prefix.select(
+        *keys, F.struct(value, *payload).alias("_row"), whole(f"{weight}_all").alias("_n"),
+        whole(f"{weight}_below").alias("_first"), (whole(f"{weight}_below") + whole(weight) - 1).alias("_last"),
     )
-    # Each distinct value covers the ranks [below, below + n). On an even grid one
-    # division tells whether a wanted rank can be among them, so hardly any row
-    # looks at the list.
-    first = F.col(f"{weight}_below").cast("bigint")
-    last = first + F.col(weight).cast("bigint") - 1
-    slim = prefix.select(*keys, value, first.alias("_first"), last.alias("_last"), *payload)
-    listed = slim.join(F.broadcast(wanted.join(sizes, keys)), keys)
     if probabilities is None:
-        step = F.expr(
-            f"(greatest(_first - 1, 0) * {points - 1}L + greatest(_n - 2, 0)) div greatest(_n - 1, 1)"
-        )
-        listed = listed.where(F.floor((F.col("_n") - 1) * step / F.lit(points - 1)) <= F.col("_last"))
-    hits = (
-        listed.withColumn("_hit", F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r <= F.col("_last"))))
-        .select(*keys, F.explode("_hit").alias("_at"), F.struct(value, *payload).alias("_row"))
-    )
-    ends = F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("_rank").alias("at")),
-        F.struct(F.lit("hi").alias("side"), F.least(F.col("_rank") + 1, F.col("_n") - 1).alias("at")),
+        if points < 2:
+            raise ValueError("a grid needs at least two points")
+        d = points - 1
+
+        def asked(first: str, last: str) -> Column:
+            """Grid positions whose rank floor((n - 1) j / d) lies in [first, last]."""
+            start = F.expr(f"(greatest({first}, 0) * {d}L + greatest(_n - 2, 0)) div greatest(_n - 1, 1)")
+            stop = F.expr(f"least(((({last}) + 1) * {d}L + greatest(_n - 2, 0)) div greatest(_n - 1, 1) - 1, {d}L)")
+            stop = F.when(F.col("_n") == 1, F.lit(d).cast("bigint")).otherwise(stop)
+            start = F.when(F.col("_n") == 1, F.lit(0).cast("bigint")).otherwise(start)
+            return F.when((start <= stop) & F.expr(f"({last}) >= 0"), F.sequence(start, stop)).otherwise(F.array().cast("array<bigint>"))
+
+        lo_at = asked("_first", "_last")
+        # The neighbour above; the largest value is its own neighbour.
+        hi_at = F.when(F.col("_last") == F.col("_n") - 1, asked("_first - 1", "_last")).otherwise(asked("_first - 1", "_last - 1"))
+        fraction = F.expr(f"((_n - 1) * j) % {d}L") / F.lit(float(d))
+    else:
+        listed = F.array(*[F.struct(F.lit(j).cast("bigint").alias("j"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for j, (a, b) in enumerate(probabilities)])
+        rank = lambda p: F.floor((F.col("_n") - 1) * p["a"] / p["b"])
+        inside = lambda r: (r >= F.col("_first")) & (r <= F.col("_last"))
+        lo_at = F.transform(F.filter(listed, lambda p: inside(rank(p))), lambda p: p["j"])
+        hi_at = F.transform(F.filter(listed, lambda p: inside(F.least(rank(p) + 1, F.col("_n") - 1))), lambda p: p["j"])
+        table = F.element_at(listed, (F.col("j") + 1).cast("int"))
+        fraction = F.pmod((F.col("_n") - 1) * table["a"], table["b"]) / table["b"]
+
+    mark = lambda at, side: F.transform(at, lambda j: F.struct(j.alias("j"), F.lit(side).alias("side")))
+    hits = rows.withColumn("_hit", F.concat(mark(lo_at, "lo"), mark(hi_at, "hi"))).where(F.size("_hit") > 0)
+    hits = hits.select(*keys, "_n", "_row", F.explode("_hit").alias("_hit")).select(
+        *keys, "_n", "_row", F.col("_hit.j").alias("j"), F.col("_hit.side").alias("_side")
     )
-    asked = targets.select(*keys, "j", "_frac", F.explode(ends).alias("_end"))
-    asked = asked.select(*keys, "j", "_frac", F.col("_end.side").alias("_side"), F.col("_end.at").alias("_at"))
     side = lambda s: F.max(F.when(F.col("_side") == s, F.col("_row"))).alias(f"_{s}")
-    both = asked.join(hits, [*keys, "_at"]).groupBy(*keys, "j", "_frac").agg(side("lo"), side("hi"))
+    both = hits.groupBy(*keys, "j", "_n").agg(side("lo"), side("hi"))
     lo, hi = F.col(f"_lo.{value}"), F.col(f"_hi.{value}")
     return both.select(
         *groups,
-        "j",
-        (lo + (hi - lo) * F.col("_frac")).alias("q"),
+        F.col("j").cast("int").alias("j"),
+        (lo + (hi - lo) * fraction).alias("q"),
         lo.alias("lo"),
         hi.alias("hi"),
         *[F.col(f"_{s}.{p}").alias(f"{s}_{p}") for p in payload for s in ("lo", "hi")],

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clinical import build_clinical
 from ..functions.scalar import finite_or_null, total
+from ..session import split_generated_code
 from ..spec import PanelSpec
 from .timeline import CHUNK_ROWS, Layout, index_rows, lay_out
 
@@ -121,16 +122,12 @@ def _frames(layout: Layout, plan: _Plan) -> Layout:
     columns: dict[str, Column] = {}
     for c in plan.sums:
         columns[_sum(c)] = F.sum(_value(c)).over(cum)
-    for rows, stats in ((short, SHORT_STATS), (long, LONG_STATS)):
-        frame = layout.sliding(rows)
-        for how in stats:
-            apply = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}[how]
-            for c in plan.rolling:
-                # Only full windows count; the rows before that stay missing.
-                columns[f"{c}_{how}{rows}"] = F.when(
-                    F.col(spec.index) >= rows - 1, apply(_value(c)).over(frame)
-                )
-    for rows in (short, medium):
+    stepped = plan.rolling and long % short == 0
+    if stepped:
+        layout = _stepped_statistics(layout, plan.rolling)
+    elif plan.rolling:
+        columns.update(_framed_statistics(layout, plan.rolling))
+    for rows in (short, medium) if plan.rolling else ():
         for c in plan.rolling:
             change = F.col(_value(c)) - F.lag(_value(c), rows).over(ordered)
             columns[f"{c}_slope{rows}"] = change / F.lit(float(rows))
@@ -147,6 +144,80 @@ def _frames(layout: Layout, plan: _Plan) -> Layout:
     return layout.replaced(joined.withColumns(merged).drop(*onward))
 
 
+def _framed_statistics(layout: Layout, channels: Sequence[str]) -> dict[str, Column]:
+    """Sliding statistics as frame aggregates: any window lengths, one pass per row and frame row."""
+    idx = F.col(layout.spec.index)
+    apply = {"mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
+    return {
+        # Only full windows count; the rows before that stay missing.
+        f"{c}_{how}{rows}": F.when(idx >= rows - 1, apply[how](_value(c)).over(layout.sliding(rows)))
+        for rows, stats in _statistics(layout.spec)
+        for how in stats
+        for c in channels
+    }
+
+
+def _statistics(spec: PanelSpec):
+    return ((spec.windows.short, SHORT_STATS), (spec.windows.long, LONG_STATS))
+
+
+def _stepped_statistics(layout: Layout, channels: Sequence[str]) -> Layout:
+    """The same statistics from lags, for a long window that is a multiple of the short.
+
+    The short window is its few lagged values. The long one is pieced together
+    from the short windows ending ``short`` rows apart: counts and sums add up,
+    and squared deviations combine through the means of the pieces, which keeps
+    the spread of a constant signal exactly 0. A row costs a handful of lags
+    instead of re-aggregating every frame row.
+    """
+    spec, ordered, idx = layout.spec, layout.ordered(), F.col(layout.spec.index)
+    short, long = spec.windows.short, spec.windows.long
+    back = lambda c, i: f"_{c}_back{i}"
+    zero = F.lit(0.0)
+    df = layout.df.select(
+        "*", *[F.lag(_value(c), i).over(ordered).alias(back(c, i)) for c in channels for i in range(1, short)]
+    )
+    row = lambda c: [F.col(_value(c)), *[F.col(back(c, i)) for i in range(1, short)]]
+    df = df.withColumns({f"_{c}_n": total([v.isNotNull().cast("double") for v in row(c)]) for c in channels})
+    df = df.withColumns({f"_{c}_s": total([F.coalesce(v, zero) for v in row(c)]) for c in channels})
+    df = df.withColumns({f"_{c}_m": F.try_divide(f"_{c}_s", f"_{c}_n") for c in channels})
+    spread = lambda c: total([F.coalesce((v - F.col(f"_{c}_m")) * (v - F.col(f"_{c}_m")), zero) for v in row(c)])
+    df = df.withColumns({f"_{c}_q": spread(c) for c in channels})
+    full = lambda c, rows, value: F.when((idx >= rows - 1) & F.col(_value(c)).isNotNull(), value)
+    deviation = lambda q, n: F.when(n > 1, F.sqrt(q / F.greatest(n - 1, F.lit(1.0))))
+    built: dict[str, Column] = {}
+    for c in channels:
+        built[f"{c}_mean{short}"] = full(c, short, F.col(f"_{c}_m"))
+        built[f"{c}_min{short}"] = full(c, short, F.least(*row(c)))
+        built[f"{c}_max{short}"] = full(c, short, F.greatest(*row(c)))
+        built[f"{c}_std{short}"] = full(c, short, deviation(F.col(f"_{c}_q"), F.col(f"_{c}_n")))
+    df = df.withColumns(built).drop(*[back(c, i) for c in channels for i in range(1, short)])
+
+    steps = range(short, long, short)
+    piece = lambda c, part, step: F.col(f"_{c}_{part}") if step == 0 else F.col(f"_{c}_{part}{step}")
+    df = df.select(
+        "*",
+        *[
+            F.coalesce(F.lag(f"_{c}_{part}", step).over(ordered), zero).alias(f"_{c}_{part}{step}")
+            for c in channels for step in steps for part in ("n", "s", "q")
+        ],
+    )
+    pieces = [0, *steps]
+    df = df.withColumns({f"_{c}_n_long": total([piece(c, "n", k) for k in pieces]) for c in channels})
+    df = df.withColumns({f"_{c}_m_long": F.try_divide(total([piece(c, "s", k) for k in pieces]), f"_{c}_n_long") for c in channels})
+
+    def between(c: str, step: int) -> Column:
+        apart = F.try_divide(piece(c, "s", step), piece(c, "n", step)) - F.col(f"_{c}_m_long")
+        return piece(c, "q", step) + F.coalesce(piece(c, "n", step) * apart * apart, zero)
+
+    df = df.withColumns({f"{c}_mean{long}": full(c, long, F.col(f"_{c}_m_long")) for c in channels})
+    spread_long = lambda c: deviation(total([between(c, k) for k in pieces]), F.col(f"_{c}_n_long"))
+    df = df.withColumns({f"{c}_std{long}": full(c, long, spread_long(c)) for c in channels})
+    scratch = [f"_{c}_{p}" for c in channels for p in ("n", "s", "m", "q", "n_long", "m_long")]
+    scratch += [f"_{c}_{p}{k}" for c in channels for p in ("n", "s", "q") for k in steps]
+    return layout.replaced(df.drop(*scratch))
+
+
 def _block_columns(spec: PanelSpec, block: str, denominator: str) -> dict[str, Column]:
     """Final expressions of one block over the running values."""
     idx, ch = F.col(spec.index), spec.channels
@@ -172,7 +243,7 @@ def _block_columns(spec: PanelSpec, block: str, denominator: str) -> dict[str, C
     if block == "rolling":
         names = [
             f"{c}_{how}{rows}"
-            for rows, stats in ((spec.windows.short, SHORT_STATS), (spec.windows.long, LONG_STATS))
+            for rows, stats in _statistics(spec)
             for how in stats
             for c in spec.rolling_channels
         ]
@@ -245,6 +316,7 @@ def build_features(
     if spec.index not in panel.columns:
         panel = index_rows(panel, spec)
 
+    split_generated_code(panel.sparkSession)
     plan = _Plan(spec, blocks)
     used = {spec.entity, spec.order, spec.index, spec.label, *kept}
     if "clinical" in blocks:

@@ -24,6 +24,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def split_generated_code(spark: SparkSession) -> None:
+    """Keep generated methods small enough for the JVM to compile them.
+
+    The JVM interprets methods above 8,000 bytes of bytecode, and a projection
+    of a hundred feature expressions is one such method. Below this limit Spark
+    evaluates them through many small methods instead. A user's setting stays.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name, "65535") == "65535":
+        spark.conf.set(name, "8000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
