@@ -28,6 +28,7 @@ SPEC = PanelSpec(
     carried_ids=("idx",),
 )
 ALARM = 20_000
+INTENSITY_CHANNELS = ("error", "signup", "purchase")
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
