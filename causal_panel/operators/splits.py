@@ -32,8 +32,8 @@ def _rank(df: DataFrame, ids: Sequence[str], seed: int, strata: Sequence[str] =
 
     hashed = df.withColumn("_hash", hash_order(seed, *ids))
     hashed = hashed.withColumn("_head", F.conv(F.substring("_hash", 1, _HEX), 16, 10).cast("double"))
-    prefix = prefix_totals(hashed, "_head", {"n": F.lit(1)}, strata).select(
-        *strata, "_head", F.col("n_below").alias("_below"), F.col("n_all").alias("_size")
+    prefix = prefix_totals(hashed, "_head", {"_k": F.lit(1)}, strata).select(
+        *strata, "_head", F.col("_k_below").alias("_below"), F.col("_k_all").alias("_size")
     )
     tie = Window.partitionBy(*strata, "_head").orderBy("_hash", *ids)
     ranked = hashed.withColumn("_tie", F.row_number().over(tie) - 1)

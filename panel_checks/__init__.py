@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("panels", "features", "tables", "scoring", "statistics", "streams")
+MODULES = ("panels", "features", "tables", "scoring", "statistics", "models", "studies", "streams")
+
+
+def _spread(spark: SparkSession) -> SparkSession:
+    """Let small inputs use all cores: Spark's defaults pack megabytes into one task.
+
+    These only lower the sizes below which partitions are merged, so they do not
+    change how large inputs are cut.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+    return spark
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -19,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = wraps(fn)(lambda spark, sf: fn(_spread(spark), sf))
         if sql is not None:
             ORACLES[name] = sql
         return fn
