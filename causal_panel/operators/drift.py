@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import bin_of, right_closed_bin
 from ..functions.tails import ks_p
+from ..session import staged
 from .ordered import prefix_totals, quantile_edges
 
 REFERENCE, COMPARISON = 0, 1
@@ -47,7 +48,8 @@ def drift_report(pair: DataFrame, features: Sequence[str], side: str = "side", b
 
     long = pair.select(side, *doubles).unpivot(side, list(features), "feature", "value")
     sums = {"n": is_ref.cast("bigint"), "c": (~is_ref).cast("bigint")}
-    prefix = prefix_totals(long, "value", sums, ["feature"])
+    # Read three times below: for the distance, the edges and the bin counts.
+    prefix = staged(prefix_totals(long, "value", sums, ["feature"]), "drift-prefix")
     gap_between = F.abs(
         F.try_divide(F.col("n_below") + F.col("n"), F.col("n_all")) - F.try_divide(F.col("c_below") + F.col("c"), F.col("c_all"))
     )

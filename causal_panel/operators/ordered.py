@@ -69,12 +69,15 @@ def prefix_totals(
     )
     # One array of fixed length per group.
     placed = totals.join(F.broadcast(bounds), keys).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
+    # One exchange serves both the windows and the bucket totals below.
+    placed = placed.repartition(*keys, "_bucket")
 
     lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     offsets = (
         placed.groupBy(*keys, "_bucket")
-        .agg(*[F.sum(n).alias(n) for n in sums])
+        .agg(*[F.sum(n).alias(n) for n in sums], F.max(value).alias("_top"))
+        .where(F.col("_top").isNotNull())
         .select(
             *keys,
             "_bucket",
