@@ -21,7 +21,9 @@ from .tables import SEED, SPLIT_SQL, assignment, quantile_sql
 from .inputs import PANEL_SQL
 
 BLOCKS = ("locf", "recency", "intensity", "deviation", "missing")
-FEATURES = feature_columns(SPEC, BLOCKS)
+def feature_names() -> list[str]:
+    return feature_columns(SPEC, BLOCKS)
+
 
 
 def feature_table(spark, sf):
@@ -60,14 +62,14 @@ def ml_impute_standardise(spark, sf):
 
 @query("ml_logistic")
 def ml_logistic(spark, sf):
-    model = linear.fit_logistic(train(spark, sf), FEATURES, "y", max_iter=50)
+    model = linear.fit_logistic(train(spark, sf), feature_names(), "y", max_iter=50)
     scored = model.predict(feature_table(spark, sf))
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score"), 4).alias("mean_score"))
 
 
 @query("ml_sparse_signature")
 def ml_sparse_signature(spark, sf):
-    return linear.sparse_signature(train(spark, sf), FEATURES, "y", target_features=8, max_iter=40)
+    return linear.sparse_signature(train(spark, sf), feature_names(), "y", target_features=8, max_iter=40)
 
 
 INFERENCE = ("error_locf", "click_n_obs", "view_n_obs", "error_hours_since", "n_labs_this_hour")
@@ -81,7 +83,7 @@ def ml_inference_table(spark, sf):
 def boosted(spark, sf):
     rows = feature_table(spark, sf)
     return trees.fit_boosted(
-        rows.where("split = 'train'"), FEATURES, "y", {"max_depth": 3, "learning_rate": 0.3}, rounds=4, validation=rows.where("split = 'val'"), max_bins=32
+        rows.where("split = 'train'"), feature_names(), "y", {"max_depth": 3, "learning_rate": 0.3}, rounds=4, validation=rows.where("split = 'val'"), max_bins=32
     )
 
 
@@ -102,13 +104,13 @@ def ml_missing_aware_inputs(spark, sf):
 
 @query("ml_out_of_fold_utility")
 def ml_out_of_fold_utility(spark, sf):
-    value, rounds = trees.out_of_fold_utility(train(spark, sf), FEATURES, "entity", "idx", "y", {"learning_rate": 0.3}, rounds=2, folds=2)
+    value, rounds = trees.out_of_fold_utility(train(spark, sf), feature_names(), "entity", "idx", "y", {"learning_rate": 0.3}, rounds=2, folds=2)
     return spark.createDataFrame([(float(value), int(rounds))], "utility double, rounds int")
 
 
 @query("ml_tune")
 def ml_tune(spark, sf):
-    _, _, trials = trees.tune(train(spark, sf), FEATURES[:15], "entity", "idx", "y", trials=2, rounds=2, folds=2, seed=SEED)
+    _, _, trials = trees.tune(train(spark, sf), feature_names()[:15], "entity", "idx", "y", trials=2, rounds=2, folds=2, seed=SEED)
     return trials.drop("duration")
 
 
@@ -119,7 +121,7 @@ def ml_importance(spark, sf):
 
 @query("ml_permutation_importance")
 def ml_permutation_importance(spark, sf):
-    return trees.permutation_importance(boosted(spark, sf), feature_table(spark, sf).where("split = 'val'"), ["entity", "idx"], "y", features=FEATURES[:8], sample=20_000)
+    return trees.permutation_importance(boosted(spark, sf), feature_table(spark, sf).where("split = 'val'"), ["entity", "idx"], "y", features=feature_names()[:8], sample=20_000)
 
 
 @query("ml_isotonic")
@@ -141,7 +143,7 @@ def ml_model_store(spark, sf):
     """Saved and reloaded models give the same scores: rows that differ."""
     folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
     rows, out = feature_table(spark, sf), None
-    for name, model in (("logistic", linear.fit_logistic(train(spark, sf), FEATURES[:6], "y", max_iter=20)), ("boosted", boosted(spark, sf))):
+    for name, model in (("logistic", linear.fit_logistic(train(spark, sf), feature_names()[:6], "y", max_iter=20)), ("boosted", boosted(spark, sf))):
         save_model(spark, folder, name, model)
         again = load_model(spark, folder, name)
         both = again.predict(model.predict(rows, "before"), "after")
