@@ -71,6 +71,16 @@ def logit(c: Column | str) -> Column:
     return F.ln(p / (F.lit(1.0) - p))
 
 
+def latest(value: Column, at: Column) -> Column:
+    """Aggregate: the non-missing value at the largest ``at`` (a fixed-size buffer, hashed)."""
+    return F.max_by(value, F.when(value.isNotNull(), at))
+
+
+def earliest(value: Column, at: Column) -> Column:
+    """Aggregate: the non-missing value at the smallest ``at``."""
+    return F.min_by(value, F.when(value.isNotNull(), at))
+
+
 def bin_of(value: Column, interior_edges: Column) -> Column:
     """Number of interior edges at or below the value (left-closed bins).
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalar import latest
+
 
 def entity_summaries(rows: DataFrame, entity: str, label: str, features: Sequence[str], how: str = "mean") -> DataFrame:
     """One value per entity and feature (missing skipped) and the entity label.
@@ -18,8 +20,7 @@ def entity_summaries(rows: DataFrame, entity: str, label: str, features: Sequenc
 
 def last_observed(rows: DataFrame, entity: str, order: str, columns: Sequence[str]) -> DataFrame:
     """Last non-missing value per entity: a fixed-size buffer, no sort."""
-    latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("at"), F.col(c).alias("v"))))["v"]
-    return rows.groupBy(entity).agg(*[latest(c).alias(c) for c in columns])
+    return rows.groupBy(entity).agg(*[latest(F.col(c), F.col(order)).alias(c) for c in columns])
 
 
 def with_entity_max(rows: DataFrame, entity: str, column: str, name: str) -> DataFrame:

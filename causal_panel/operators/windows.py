@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clinical import build_clinical
-from ..functions.scalar import finite_or_null, total
+from ..functions.scalar import earliest, finite_or_null, latest, total
 from ..session import split_generated_code
 from ..spec import PanelSpec
 from .timeline import CHUNK_ROWS, Layout, index_rows, lay_out
@@ -90,8 +90,7 @@ def _state(layout: Layout, plan: _Plan) -> Layout:
 
     totals: dict[str, Column] = {}
     for c in plan.values:
-        latest = F.max(F.when(F.col(c).isNotNull(), F.struct(idx.alias("at"), F.col(c).cast("double").alias("v"))))
-        totals[_value(c)] = latest["v"]
+        totals[_value(c)] = latest(F.col(c).cast("double"), idx)
     for c in plan.seen:
         totals[_seen(c)] = F.max(F.when(F.col(c).isNotNull(), idx))
     for c in plan.counts:
@@ -384,10 +383,7 @@ def bidirectional_fill(panel: DataFrame, spec: PanelSpec, longest: int | None =
     plan = _Plan(spec, ("locf",))
     forward = _state(lay_out(panel, spec, longest, chunk), plan).own_rows()
     first = panel.groupBy(spec.entity).agg(
-        *[
-            F.min(F.when(F.col(c).isNotNull(), F.struct(idx.alias("at"), F.col(c).alias("v"))))["v"].alias(f"_{c}_first")
-            for c in spec.channels
-        ]
+        *[earliest(F.col(c), idx).alias(f"_{c}_first") for c in spec.channels]
     )
     types = dict(panel.dtypes)
     filled = {c: F.coalesce(F.col(_value(c)), F.col(f"_{c}_first")).cast(types[c]).alias(c) for c in spec.channels}

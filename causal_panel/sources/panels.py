@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.scalar import latest
 from ..spec import PanelSpec
 
 MISSING_TOKEN = "NaN"
@@ -110,11 +111,7 @@ def densify(
     """
     at = F.col(timestamp)
     hour = F.date_trunc("hour", at).alias("h")
-    latest = {
-        n: F.max(F.when(c.isNotNull(), F.struct(at.alias("at"), c.alias("v"))))["v"].alias(n)
-        for n, c in values.items()
-    }
-    hourly = records.groupBy(entity, hour).agg(*latest.values())
+    hourly = records.groupBy(entity, hour).agg(*[latest(c, at).alias(n) for n, c in values.items()])
     spans = hourly.groupBy(entity).agg(F.min("h").alias("_first"), F.max("h").alias("_last"))
     last_idx = hours_between("_first", "_last")
     runs = (

@@ -22,6 +22,7 @@ def _spread(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
