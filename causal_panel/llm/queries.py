@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import ngram_ratio
+from causal_panel.llm import ngram_ratio, source_mix
 from causal_panel.llm.text import table
 
 
@@ -17,9 +17,57 @@ def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "ratio_sum")
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to 150 % of their words by source weights 5, 2, 1."""
+    mixed = source_mix.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9))::BIGINT AS point
+    FROM documents
+), by_source AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+           row_number() OVER (ORDER BY source NULLS LAST) AS rank
+    FROM by_source
+), summed AS (
+    SELECT *, 150 * sum(source_size) OVER () AS budget,
+           coalesce(sum(200 * source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+           sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+    FROM weighed
+), judged AS (
+    SELECT *, weight * (budget - stopped) >= 200 * source_size * open AS stops FROM summed
+), targets AS (
+    SELECT source, source_size, CASE WHEN stops THEN CAST(2 * source_size AS DOUBLE) ELSE
+           CAST(weight * (budget - coalesce(sum(CASE WHEN stops THEN 200 * source_size END) OVER (), 0)) AS DOUBLE)
+           / (100.0::DOUBLE * sum(CASE WHEN NOT stops THEN weight END) OVER ()) END AS target
+    FROM judged
+), budgets AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets
+), points AS (
+    SELECT source, point, sum(size) AS tokens FROM sized GROUP BY source, point
+), sums AS (
+    SELECT p.source, p.point, p.tokens, sum(p.tokens) OVER (PARTITION BY p.source ORDER BY p.point) AS upto,
+           b.target - b.whole * b.source_size AS extra
+    FROM points p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
+), edges AS (
+    SELECT source, min(CASE WHEN upto > extra THEN point + CASE WHEN upto - extra < extra - (upto - tokens) THEN 1 ELSE 0 END END) AS edge FROM sums GROUP BY source
+)
+SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, b.source_size, b.target,
+       CAST(s.size * least(2, b.whole + CASE WHEN e.edge IS NULL OR s.point < e.edge THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
+"""
+
+
 QUERIES = {
     "op9_ngram_ratio": op9_ngram_ratio,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
+    "op10_source_mix": OP10_SQL,
 }
