@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import ngram_ratio, source_mix
+from causal_panel.llm import chat_format, ngram_ratio, source_mix
 from causal_panel.llm.text import table
 
 
@@ -63,11 +63,43 @@ FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges
 """
 
 
+PROBE = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"))
+
+
+def op4_prefix_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, as examples; read back per conversation."""
+    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.conversation_digests(chat_format.prefix_examples(turns))
+
+
+OP4_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+    SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+           sum(length(role) + length(regexp_replace(role, '[^\\\n]', '', 'g')) + len(regexp_extract_all(role, '</?s>|\[/?INST\]'))
+               + length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + len(regexp_extract_all(text, '</?s>|\[/?INST\]'))
+               + 9 + CASE WHEN role = 'assistant' THEN 0 ELSE 13 END) OVER w AS upto
+    FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, max(n_turns) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR n = n_turns) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 QUERIES = {
+    "op4_prefix_examples": op4_prefix_examples,
     "op9_ngram_ratio": op9_ngram_ratio,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
+    "op4_prefix_examples": OP4_SQL,
     "op10_source_mix": OP10_SQL,
 }
