@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, ngram_ratio, source_mix
+from causal_panel.llm import chat_format, license_templates, ngram_ratio, source_mix
 from causal_panel.llm.text import table
 
 
+def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template matches of all documents."""
+    return license_templates.summarize(license_templates.scan_licenses(table(spark, sf_dir, "documents"))).drop("matches")
+
+
 def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents; trusted are those labelled of good quality."""
     labels = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
@@ -95,6 +100,7 @@ FROM sized GROUP BY conv_id
 
 QUERIES = {
     "op4_prefix_examples": op4_prefix_examples,
+    "op7_license_templates": op7_license_templates,
     "op9_ngram_ratio": op9_ngram_ratio,
     "op10_source_mix": op10_source_mix,
 }
