@@ -9,6 +9,7 @@ on the order of addition and reruns agree to the last bit.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -99,13 +100,13 @@ def log_ratios(docs: DataFrame, trusted: Column, rule: RatioRule = RatioRule(),
         docs.select(F.coalesce(trusted, F.lit(False)).cast("long").alias("target"), F.explode(cells(F.col(text), rule.buckets)).alias("cell"))
         .groupBy("cell").agg(F.sum("target").alias("target"), F.count("*").alias("raw"))
     )
-    every = docs.sparkSession.range(rule.buckets).select(F.col("id").alias("cell"))
-    counted = every.join(counted, "cell", "left").na.fill(0)
-    total = counted.agg(F.sum("target").alias("all_target"), F.sum("raw").alias("all_raw"))
-    smooth, room = F.lit(float(rule.smoothing)), F.lit(float(rule.smoothing * rule.buckets))
-    ratio = F.log((F.col("target") + smooth) / (F.col("all_target") + room)) - F.log((F.col("raw") + smooth) / (F.col("all_raw") + room))
-    rows = counted.join(F.broadcast(total)).select("cell", F.floor(ratio * 1e6 + 0.5).cast("long").alias("ratio")).collect()
-    return [r.ratio for r in sorted(rows)]
+    cells_of = {r.cell: (r.target, r.raw) for r in counted.collect()}
+    target, raw = (sum(c[k] for c in cells_of.values()) + rule.smoothing * rule.buckets for k in (0, 1))
+
+    def ratio(t: int, r: int) -> int:
+        return math.floor((math.log((t + rule.smoothing) / target) - math.log((r + rule.smoothing) / raw)) * 1e6 + 0.5)
+
+    return [ratio(*cells_of.get(cell, (0, 0))) for cell in range(rule.buckets)]
 
 
 def score(docs: DataFrame, ratios: list[int], text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents; trusted are those labelled of good quality."""
-    labels = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    labels = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct().hint("shuffle_hash")  # texts move once, whatever the sizes
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, F.col("doc_id") == F.col("good_id"), "left")
     rules = ngram_ratio.quality_rules(docs, F.col("good_id").isNotNull())
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "ratio_sum")
