@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, license_templates, ngram_ratio, source_mix
+from causal_panel.llm import chat_format, license_templates, ngram_ratio, packing, source_mix
 from causal_panel.llm.text import table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query, from the tokenizer package that every executor has."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2,048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and template matches of all documents."""
     return license_templates.summarize(license_templates.scan_licenses(table(spark, sf_dir, "documents"))).drop("matches")
@@ -100,6 +112,7 @@ FROM sized GROUP BY conv_id
 
 QUERIES = {
     "op4_prefix_examples": op4_prefix_examples,
+    "op6_linear_grouping": op6_linear_grouping,
     "op7_license_templates": op7_license_templates,
     "op9_ngram_ratio": op9_ngram_ratio,
     "op10_source_mix": op10_source_mix,
