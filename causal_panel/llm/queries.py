@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, license_templates, ngram_ratio, packing, source_mix
+from causal_panel.llm import chat_format, license_templates, ngram_ratio, packing, page_text, source_mix
 from causal_panel.llm.text import table
 
 
@@ -80,6 +80,11 @@ FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges
 """
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return page_text.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 PROBE = ((-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"))
 
 
@@ -111,6 +116,7 @@ FROM sized GROUP BY conv_id
 
 
 QUERIES = {
+    "op3_page_text": op3_page_text,
     "op4_prefix_examples": op4_prefix_examples,
     "op6_linear_grouping": op6_linear_grouping,
     "op7_license_templates": op7_license_templates,
