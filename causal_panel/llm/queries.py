@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, license_templates, ngram_ratio, packing, page_text, source_mix
+from causal_panel.llm import chat_format, epsilon_grid, license_templates, ngram_ratio, packing, page_text, source_mix
 from causal_panel.llm.text import table
 
 
@@ -26,6 +26,29 @@ def op7_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.summarize(license_templates.scan_licenses(table(spark, sf_dir, "documents"))).drop("matches")
 
 
+def op8_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    linked = epsilon_grid.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+       min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reached r ON r.a = e.vec_id GROUP BY e.vec_id
+"""
+
+
 def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents; trusted are those labelled of good quality."""
     labels = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct().hint("shuffle_hash")  # texts move once, whatever the sizes
@@ -120,11 +143,13 @@ QUERIES = {
     "op4_prefix_examples": op4_prefix_examples,
     "op6_linear_grouping": op6_linear_grouping,
     "op7_license_templates": op7_license_templates,
+    "op8_epsilon_grid": op8_epsilon_grid,
     "op9_ngram_ratio": op9_ngram_ratio,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
     "op4_prefix_examples": OP4_SQL,
+    "op8_epsilon_grid": OP8_SQL,
     "op10_source_mix": OP10_SQL,
 }
