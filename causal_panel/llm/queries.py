@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, epsilon_grid, license_templates, ngram_ratio, packing, page_text, source_mix
+from causal_panel.llm import chat_format, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, source_mix
 from causal_panel.llm.text import table
 
 
@@ -103,6 +103,43 @@ FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges
 """
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents at a similarity of 0.85."""
+    grouped = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return grouped.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, list_aggregate(w[k:k + 4], 'string_agg', ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM split WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), classes AS (
+    SELECT md5(string_agg(s, chr(10) ORDER BY s)) AS digest, doc_id FROM shingles GROUP BY doc_id
+), reps AS (
+    SELECT digest, min(doc_id) AS rep FROM classes GROUP BY digest
+), sets AS (
+    SELECT s.doc_id, s.s FROM shingles s WHERE s.doc_id IN (SELECT rep FROM reps)
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+    UNION SELECT rep, doc_id FROM reps JOIN classes USING (digest) WHERE rep <> doc_id
+), ways AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN ways l ON r.b = l.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l ON l.a = d.doc_id
+"""
+
+
 def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return page_text.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
@@ -139,6 +176,7 @@ FROM sized GROUP BY conv_id
 
 
 QUERIES = {
+    "op2_lsh_forest": op2_lsh_forest,
     "op3_page_text": op3_page_text,
     "op4_prefix_examples": op4_prefix_examples,
     "op6_linear_grouping": op6_linear_grouping,
@@ -149,6 +187,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_lsh_forest": OP2_SQL,
     "op4_prefix_examples": OP4_SQL,
     "op8_epsilon_grid": OP8_SQL,
     "op10_source_mix": OP10_SQL,
