@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -53,7 +54,7 @@ class WordTokenizer:
     no other, ends in ``</w>``. Anything else is encoded on its own.
     """
 
-    LIMIT = 500_000  # words; then the cache starts afresh
+    LIMIT = 1_000_000  # words; then the cache starts afresh
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
     def __init__(self, path: str):
@@ -68,7 +69,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        split = [t.translate(_ASCII_GAPS).split(" ") for t in texts]
+        split = [_ascii_words(t) if _other_gaps(t) else t.split() for t in texts]
         if len(self.cache) > self.LIMIT:
             self.cache.clear()
         self._learn(set().union(*split))
@@ -76,7 +77,7 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> None:
         cache = self.cache
-        cache[""] = b""
+        cache[""] = b""  # the tail of a word without punctuation
         parts, alone = [], []
         for word in words:
             if word in cache:
@@ -104,7 +105,9 @@ class WordTokenizer:
             cache[word] = np.asarray(found.ids, dtype="<u4").tobytes()
 
 
-_ASCII_GAPS = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+#: White space that str.split knows besides ASCII white space; a text with any of it is split by a pattern.
+_other_gaps = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_ascii_words = re.compile(r"[^ \t-\r]+").findall
 _tokenizers: dict[str, WordTokenizer] = {}  # one per worker process
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
