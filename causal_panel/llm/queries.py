@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, source_mix
+from causal_panel.llm import chat_format, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, source_mix, toxicity
 from causal_panel.llm.text import table
 
 
@@ -103,6 +103,11 @@ FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source JOIN edges
 """
 
 
+def op1_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents at a similarity of 0.85."""
     grouped = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
@@ -176,6 +181,7 @@ FROM sized GROUP BY conv_id
 
 
 QUERIES = {
+    "op1_label_model": op1_label_model,
     "op2_lsh_forest": op2_lsh_forest,
     "op3_page_text": op3_page_text,
     "op4_prefix_examples": op4_prefix_examples,
