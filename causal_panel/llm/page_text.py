@@ -229,11 +229,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     keyed = pages.select("page_id", "url", "html").withColumn("page_key", F.xxhash64("page_id", "url", "html"))
     parsed = staged(keyed.mapInPandas(_parse, PARSED), "pages")
+    named = lambda pages, lines: pages.select("page_id", "url", F.array_join(lines, "\n").alias("text"))
+    sure = named(parsed.filter(F.size("open") == 0), F.col("lines"))  # markup decides on every line
+    unsure = parsed.filter(F.size("open") > 0)
     order = parsed.select("host", "path", "page_key").distinct()
     hashed = parsed.select("page_key", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), "open").dropDuplicates(["page_key"])
-    unsure = hashed.filter(F.size("open") > 0)  # pages with lines that markup does not decide on
-    pairs = unsure.join(_neighbours(order), "page_key").join(hashed.select(F.col("page_key").alias("other"), F.col("hashes").alias("others")), "other")
+    others = hashed.select(F.col("page_key").alias("other"), F.col("hashes").alias("others"))
+    pairs = hashed.filter(F.size("open") > 0).join(_neighbours(order), "page_key").join(others, "other")
     gone = spread(pairs.select("page_key", "hashes", "open", "others")).mapInPandas(_shared, "page_key long, gone array<int>")
     gone = gone.groupBy("page_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # at most two rows a key
     kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    return parsed.join(gone, "page_key", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+    return sure.unionByName(named(unsure.join(gone, "page_key", "left"), kept))
