@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, source_mix, toxicity
+from causal_panel.llm import chat_format, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, secret_scan, source_mix, toxicity
 from causal_panel.llm.text import table
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents and what the forest says of them."""
+    return secret_scan.findings(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the packing query, from the tokenizer package that every executor has."""
     import public_tokenizers
@@ -185,6 +190,7 @@ QUERIES = {
     "op2_lsh_forest": op2_lsh_forest,
     "op3_page_text": op3_page_text,
     "op4_prefix_examples": op4_prefix_examples,
+    "op5_secret_forest": op5_secret_forest,
     "op6_linear_grouping": op6_linear_grouping,
     "op7_license_templates": op7_license_templates,
     "op8_epsilon_grid": op8_epsilon_grid,
