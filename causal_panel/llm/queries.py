@@ -185,7 +185,15 @@ FROM sized GROUP BY conv_id
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_label_model": op1_label_model,
     "op2_lsh_forest": op2_lsh_forest,
     "op3_page_text": op3_page_text,

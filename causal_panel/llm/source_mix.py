@@ -31,13 +31,17 @@ class MixRule:
     most: int = 2
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(doc_id, source, size, point): words of a text (null: none) and the hash of the id (null: as an empty id).
+def _point(key: str) -> Column:
+    """36-bit hash of an id; a null id counts as an empty one."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, point): words of a text (null: none) and the hash of the id.
 
     Rows with equal ids, repeated rows included, have the same hash and are taken or left together.
     """
-    point = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), point.alias("point"))
+    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), _point("doc_id").alias("point"))
 
 
 def targets(sized: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
@@ -107,6 +111,12 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         )
 
 
+def _copies(rows: DataFrame, point: Column, edges: DataFrame, rule: MixRule) -> DataFrame:
+    """``rows`` with the columns of their source's budget and ``copies``; the table of sources is joined as its size allows."""
+    joined = rows.join(edges.withColumnRenamed("source", "_edge"), F.col("source").eqNullSafe(F.col("_edge")), "left").drop("_edge")
+    return joined.withColumn("copies", F.least(F.col("whole") + (point < F.col("below")).cast("long"), F.lit(rule.most)))
+
+
 def mix_sources(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) of every document.
 
@@ -116,9 +126,14 @@ def mix_sources(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
     of ``docs`` are ignored.
     """
     sized = staged(sizes(docs), "mix-sizes")
-    edges = thresholds(sized, targets(sized, rule)).withColumnRenamed("source", "edge")
-    joined = sized.join(edges, F.col("source").eqNullSafe(F.col("edge")), "left")
-    copies = F.least(F.col("whole") + (F.col("point") < F.col("below")).cast("long"), F.lit(rule.most))
-    return joined.withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "point",
-    )
+    mixed = _copies(sized, F.col("point"), thresholds(sized, targets(sized, rule)), rule)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, rule: MixRule = MixRule()) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
+    sized = staged(sizes(docs), "mix-sizes")
+    edges = thresholds(sized, targets(sized, rule)).select("source", "whole", "below")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("source"), _point("doc_id").alias("point"))
+    mixed = _copies(rows, F.col("point"), edges, rule)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -1 +1,64 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: toxicity, near-duplicates, secrets, mixing and packing, each stage on what the one before it kept.
+
+``run(spark, sf_dir)`` applies STAGES to ``documents``. A stage takes (spark, docs,
+sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from causal_panel.llm import lsh_forest, packing, secret_scan, source_mix, toxicity
+from causal_panel.llm.queries import tokenizer_path
+from causal_panel.llm.text import table
+from causal_panel.session import staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one whose id is the smallest. Rows without an id stay."""
+    grouped = lsh_forest.near_duplicates(docs)
+    gone = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced; n_chars follows the text."""
+    clean = secret_scan.redact(docs, secret_scan.findings(docs))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: not at all, once or twice."""
+    return source_mix.repeat_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_copies),
+    ("secret_scan", redact_secrets),
+    ("source_mix", mix),
+    ("best_fit_packing", pack),
+]
+
+#: SQL cannot express the classifiers and the tokenizer; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
