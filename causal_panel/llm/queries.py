@@ -62,6 +62,54 @@ def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "ratio_sum")
 
 
+OP9_SQL = r"""
+WITH crc_table AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)
+), split AS MATERIALIZED (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS MATERIALIZED (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM split
+), hashes AS MATERIALIZED (
+    SELECT word, xor(4294967295, list_reduce(list_concat([4294967295],
+               list_transform(range(1, octet_length(encode(word)) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::BIGINT)),
+               lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]))) AS h
+    FROM (SELECT DISTINCT word FROM placed), crc_table
+), hashed AS MATERIALIZED (
+    SELECT doc_id, k, h, lead(h) OVER (PARTITION BY doc_id ORDER BY k) AS next_h FROM placed JOIN hashes USING (word)
+), grams AS MATERIALIZED (
+    SELECT doc_id, h % 16384 AS cell FROM hashed
+    UNION ALL SELECT doc_id, (h * 31 + next_h * 17 + 7) % 16384 FROM hashed WHERE next_h IS NOT NULL
+), counted AS (
+    SELECT cell, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS target FROM grams GROUP BY cell
+), ratios AS (
+    SELECT cell, CAST(floor((ln((target + 1) / (sum(target) OVER () + 16384.0::DOUBLE)) - ln((raw + 1) / (sum(raw) OVER () + 16384.0::DOUBLE))) * 1e6 + 0.5) AS BIGINT) AS ratio
+    FROM counted
+), scored AS (
+    SELECT doc_id, count(*) AS n_grams, CAST(sum(ratio) AS BIGINT) AS ratio_sum FROM grams JOIN ratios USING (cell) GROUP BY doc_id
+), starts AS (
+    SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS next_k FROM (
+        SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, five) AS n FROM (
+            SELECT doc_id, unnest(range(1, len(w) - 3)) AS k, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS five
+            FROM split WHERE len(w) >= 5)
+    ) WHERE n > 1
+), repeats AS (
+    SELECT doc_id, CAST(sum(least(5, coalesce(next_k - k, 5))) AS BIGINT) AS n FROM starts GROUP BY doc_id
+), ruled AS (
+    SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+           CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+           coalesce(r.n, 0) AS n_repeat_words
+    FROM split s LEFT JOIN repeats r USING (doc_id)
+)
+SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(ratio_sum, 0) >= -250000 * coalesce(n_grams, 0) AS kept,
+       coalesce(n_grams, 0) AS n_grams, coalesce(ratio_sum, 0) AS ratio_sum
+FROM ruled r LEFT JOIN scored USING (doc_id)
+"""
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to 150 % of their words by source weights 5, 2, 1."""
     mixed = source_mix.mix_sources(table(spark, sf_dir, "documents"))
@@ -210,5 +258,6 @@ ORACLES = {
     "op2_lsh_forest": OP2_SQL,
     "op4_prefix_examples": OP4_SQL,
     "op8_epsilon_grid": OP8_SQL,
+    "op9_ngram_ratio": OP9_SQL,
     "op10_source_mix": OP10_SQL,
 }

@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causal_panel.llm.text import words
+from causal_panel.llm.text import fresh, words
 from causal_panel.session import staged
 
 NAMES = "token|secret|password|passwd|passphrase|pwd|apikey|api_key|api-key|access_key|access-key|private_key|auth|authorization|bearer|credential|credentials|key"
@@ -180,9 +180,10 @@ def findings(docs: DataFrame, rule: SecretRule = SecretRule(), labelled: DataFra
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret finding in its texts replaced by ``mark``; other texts and all other columns stay as they are."""
-    spans = found.filter("is_secret").select("row_key", "start", "end").distinct()
-    spans = spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias("_spans"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(spans.withColumnRenamed("row_key", "_key"), "_key", "left")
+    key, cuts = fresh(docs, "_key"), fresh(docs, "_cuts")
+    spans = found.filter("is_secret").select(F.col("row_key").alias(key), "start", "end").distinct()
+    spans = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end")), asc=False).alias(cuts))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans, key, "left")
     cut = lambda text, s: F.overlay(text, F.lit(mark), s["start"] + 1, s["end"] - s["start"])
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", F.col("text"), cut))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.aggregate(cuts, F.col("text"), cut))
     return keyed.withColumn("text", text).select(*docs.columns)

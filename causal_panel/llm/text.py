@@ -22,3 +22,11 @@ def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Deal the rows to the session's shuffle partitions by ``keys``, or evenly."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

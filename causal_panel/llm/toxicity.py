@@ -235,18 +235,16 @@ def train(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRule(
     return ToxicityModel(markers, model, fit_linear([r.features for r in sample], model.posterior(votes, labelled), len(markers.places)))
 
 
-def score(docs: DataFrame, model: ToxicityModel, rule: ToxicityRule = ToxicityRule()) -> DataFrame:
-    """The columns of ``docs`` (replacing columns of these names), score and predicted. A null text scores as an empty one."""
+def scorer(model: ToxicityModel):
+    """A column function from texts to scores between 0 and 1; a null text scores as an empty one."""
     markers, weights = model.markers, model.weights
-    schema = docs.drop("score", "predicted").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            z = np.array([weights[markers.look(t or "")[1]].sum() for t in frame["text"]]) + weights[-1]
-            value = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield frame.assign(score=value, predicted=(value >= rule.cut).astype(np.int32))
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        z = np.array([weights[markers.look(t or "")[1]].sum() for t in texts]) + weights[-1]
+        return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
-    return docs.drop("score", "predicted").mapInPandas(run, schema)
+    return score
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRule()) -> DataFrame:
@@ -257,6 +255,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRu
     seeds and patterns vote alone. Repeated rows score alike; empty input gives
     an empty table; other columns are ignored.
     """
-    rows = docs.select("doc_id", "text")
+    score = scorer(train(docs, labels, rule))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return score(rows, train(rows, labels, rule), rule).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    rows = docs.select("doc_id", held_out.alias("held_out"), score("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= rule.cut).cast("int"))

@@ -18,8 +18,8 @@ from causal_panel.session import staged
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return docs.filter(score("text") < toxicity.ToxicityRule().cut)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
