@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causal_panel.llm.text import spread
+from causal_panel.llm.text import as_text, spread
 
 TRAINED = "assistant"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -53,7 +53,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(text)) for role, text in _turn.findall(formatted)]
 
 
-EXAMPLES = "conv_id long, example int, n_turns int, last boolean, formatted string, loss_start long, loss_end long"
+EXAMPLES = "conv_id string, example int, n_turns int, last boolean, formatted string, loss_start long, loss_end long"
 
 
 def prefix_examples(turns: DataFrame) -> DataFrame:
@@ -67,16 +67,15 @@ def prefix_examples(turns: DataFrame) -> DataFrame:
     a conversation are streamed in order, and what a task holds is one prefix.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return spread(rows, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(_expand, EXAMPLES)
+    ordered = spread(rows, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("conv_id", as_text("conv_id"))
+    return ordered.mapInPandas(_expand, EXAMPLES).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def _conversations(frames: Iterator[pd.DataFrame]):
     """(conv_id, role, text, whether it ends the conversation) over frames whose rows are in order."""
     held = None
     for frame in frames:
-        ids = frame["conv_id"].astype("Int64")
-        for conv, role, text in zip(ids, frame["role"], frame["text"]):
-            conv = None if conv is pd.NA else int(conv)
+        for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"]):
             if held is not None:
                 yield *held, held[0] != conv
             held = (conv, role, text)
@@ -107,11 +106,10 @@ def _expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["conv_id", "example", "n_turns", "last", "formatted", "loss_start", "loss_end"])
-    return frame.astype({"conv_id": "Int64"})
+    return pd.DataFrame(rows, columns=["conv_id", "example", "n_turns", "last", "formatted", "loss_start", "loss_end"])
 
 
-DIGEST = "conv_id long, example int, n_turns long, turns_sha256 string, loss string, chars long"
+DIGEST = "conv_id string, example int, n_turns long, turns_sha256 string, loss string, chars long"
 
 
 def read_examples(examples: DataFrame) -> DataFrame:
@@ -119,7 +117,8 @@ def read_examples(examples: DataFrame) -> DataFrame:
 
     ``turns_sha256`` digests role, line break, text, line break of every turn.
     """
-    return examples.select("conv_id", "example", "last", "formatted", "loss_start", "loss_end").mapInPandas(_digest, DIGEST)
+    rows = examples.select(as_text("conv_id"), "example", "last", "formatted", "loss_start", "loss_end")
+    return rows.mapInPandas(_digest, DIGEST).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +131,7 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 count, sha = len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
             rows.append((conv, example, count, sha, unescape(formatted[start:end]) if start >= 0 else "", len(formatted)))
         out = pd.DataFrame(rows, columns=["conv_id", "example", "n_turns", "turns_sha256", "loss", "chars"])
-        yield out.astype({"conv_id": "Int64", "n_turns": "Int64"})
+        yield out.astype({"n_turns": "Int64"})
 
 
 def conversation_digests(examples: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causal_panel.llm.text import as_text
+
 #: Phrases whose places are counted in every text, with their labels.
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
@@ -147,7 +149,7 @@ class Scanner:
 
 
 SCANNED = (
-    "doc_id long, n_words long, base array<struct<label string, start long>>, "
+    "doc_id string, n_words long, base array<struct<label string, start long>>, "
     "matches array<struct<label string, start long, n_words long>>"
 )
 
@@ -174,10 +176,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
                     found = scanner.matches(words)
                 rows.append((len(words), [{"label": x, "start": s} for x, s in base], [{"label": x, "start": s, "n_words": n} for x, s, n in found]))
             out = pd.DataFrame(rows, columns=["n_words", "base", "matches"], index=frame.index)
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
+            out.insert(0, "doc_id", frame["doc_id"])
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCANNED)
+    return docs.select(as_text("doc_id"), "text").mapInPandas(run, SCANNED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def summarize(scanned: DataFrame) -> DataFrame:

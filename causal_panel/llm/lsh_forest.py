@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from causal_panel.llm.components import connected_components
 from causal_panel.llm.epsilon_grid import local_roots
-from causal_panel.llm.text import spread
+from causal_panel.llm.text import as_text, spread
 from causal_panel.session import staged
 
 
@@ -110,7 +110,7 @@ def _sign(rule: ForestRule):
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 rows.append((len(found), digest, signature(found, rule.hashes).tobytes() if len(found) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "signature"], index=frame.index)
-            yield pd.concat([frame[["doc_id"]].astype("Int64"), out], axis=1)
+            yield pd.concat([frame[["doc_id"]], out], axis=1)
 
     return run
 
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, rule: ForestRule = ForestRule()) -> DataFra
     nothing. Rows of one id are one document; a null id stays alone with a null
     component. Empty input gives an empty table; other columns are ignored.
     """
-    signed = staged(docs.select("doc_id", "text").mapInPandas(_sign(rule), "doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
+    signed = staged(docs.select(as_text("doc_id"), "text").mapInPandas(_sign(rule), "doc_id string, n_shingles long, digest binary, signature binary").withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
     known = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     nodes = staged(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
     clusters = candidate_clusters(nodes.select("rep", "n_shingles", "signature"), rule)

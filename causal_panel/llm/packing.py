@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from causal_panel.llm.text import as_text
 from causal_panel.session import staged
 
 
@@ -110,7 +111,7 @@ _other_gaps = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 _ascii_words = re.compile(r"[^ \t-\r]+").findall
 _tokenizers: dict[str, WordTokenizer] = {}  # one per worker process
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule(), with_ids: bool = False) -> DataFrame:
@@ -128,16 +129,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule
         for frame in frames:
             for at in range(0, len(frame), 200):
                 part, rows = frame.iloc[at:at + 200], []
-                for doc, raw in zip(part["doc_id"].astype("Int64"), tokenizer.encode([t or "" for t in part["text"]])):
+                for doc, raw in zip(part["doc_id"], tokenizer.encode([t or "" for t in part["text"]])):
                     raw += end
                     for k in range(0, len(raw), step):
                         piece = raw[k:k + step]
                         ids = (np.frombuffer(piece, dtype="<u4").astype(np.int32),) if with_ids else ()
                         rows.append((doc, k // step, k // 4, len(piece) // 4, zlib.crc32(piece), *ids))
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
+    pieces = docs.select(as_text("doc_id"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 @dataclass
@@ -297,10 +299,10 @@ def pack(pieces: DataFrame, rule: PackRule = PackRule()) -> DataFrame:
             i = frame["rank"].to_numpy() - ranks[at]
             frame["sequence_id"] = firsts[at] + i // pers[at]
             frame["offset"] = offsets[at] + i % pers[at] * lengths[at]
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame.drop(columns="rank")
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PACKED)
+    placed = ranked.select(as_text("doc_id"), "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PACKED)
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule()) -> DataFrame:

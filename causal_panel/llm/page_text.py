@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from causal_panel.llm.text import spread
+from causal_panel.llm.text import as_text, spread
 from causal_panel.session import staged
 
 BREAKS = frozenset(
@@ -156,7 +156,7 @@ def _lengths(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-PARSED = "page_key long, page_id long, url string, host string, path string, lines array<string>, open array<int>"
+PARSED = "page_key long, page_id string, url string, host string, path string, lines array<string>, open array<int>"
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +171,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 host, path = url, ""
             rows.append((host, path, [x for x, _ in lines], [i for i, (_, text) in enumerate(lines) if not text]))
         out = pd.DataFrame(rows, columns=["host", "path", "lines", "open"], index=frame.index)
-        yield pd.concat([frame[["page_key"]], frame[["page_id"]].astype("Int64"), frame[["url"]], out], axis=1)
+        yield pd.concat([frame[["page_key"]], frame[["page_id"]], frame[["url"]], out], axis=1)
 
 
 def _neighbours(order: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _neighbours(order: DataFrame) -> DataFrame:
             yield _walked([(*before, None, True)])
 
     columns = ["host", "path", "page_key", "other", "edge"]
-    _walked = lambda rows: pd.DataFrame(rows, columns=columns).astype({"other": "Int64", "page_key": "int64"})
+    _walked = lambda rows: pd.DataFrame(rows, columns=columns, dtype=object)
     walked = staged(ranges.mapInPandas(walk, "host string, path string, page_key long, other long, edge boolean"), "page-pairs")
     ends = walked.filter("edge").select("host", "path", "page_key").distinct()
     by_host = W.partitionBy("host").orderBy("path", "page_key")
@@ -228,8 +228,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     other columns are ignored.
     """
     keyed = pages.select("page_id", "url", "html").withColumn("page_key", F.xxhash64("page_id", "url", "html"))
-    parsed = staged(keyed.mapInPandas(_parse, PARSED), "pages")
-    named = lambda pages, lines: pages.select("page_id", "url", F.array_join(lines, "\n").alias("text"))
+    parsed = staged(keyed.withColumn("page_id", as_text("page_id")).mapInPandas(_parse, PARSED), "pages")
+    named = lambda pages, lines: pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.array_join(lines, "\n").alias("text"))
     sure = named(parsed.filter(F.size("open") == 0), F.col("lines"))  # markup decides on every line
     unsure = parsed.filter(F.size("open") > 0)
     order = parsed.select("host", "path", "page_key").distinct()

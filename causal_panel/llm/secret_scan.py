@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causal_panel.llm.text import fresh, words
+from causal_panel.llm.text import as_text, fresh, words
 from causal_panel.session import staged
 
 NAMES = "token|secret|password|passwd|passphrase|pwd|apikey|api_key|api-key|access_key|access-key|private_key|auth|authorization|bearer|credential|credentials|key"
@@ -115,7 +115,7 @@ def describe(text: str, start: int, end: int, kind: str, dictionary: frozenset[s
     )]
 
 
-FOUND = "row_key long, doc_id long, start int, end int, kind string, digest string, features array<double>"
+FOUND = "row_key long, doc_id string, start int, end int, kind string, digest string, features array<double>"
 
 
 def candidates(docs: DataFrame, dictionary: frozenset[str]) -> DataFrame:
@@ -124,13 +124,14 @@ def candidates(docs: DataFrame, dictionary: frozenset[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for key, doc, text in zip(frame["row_key"], frame["doc_id"].astype("Int64"), frame["text"]):
+            for key, doc, text in zip(frame["row_key"], frame["doc_id"], frame["text"]):
                 for start, end, kind in candidates_in(text or ""):
                     sha = hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((key, doc, start, end, kind, sha, describe(text, start, end, kind, dictionary)))
-            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "start", "end", "kind", "digest", "features"]).astype({"doc_id": "Int64", "row_key": "int64"})
+            yield pd.DataFrame(rows, columns=["row_key", "doc_id", "start", "end", "kind", "digest", "features"]).astype({"row_key": "int64"})
 
-    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text").mapInPandas(run, FOUND)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), as_text("doc_id"), "text")
+    return rows.mapInPandas(run, FOUND).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def reviewed(found: DataFrame) -> DataFrame:

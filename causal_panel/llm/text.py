@@ -24,6 +24,11 @@ def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def as_text(name: str) -> Column:
+    """A column as text, for the way through pandas, where a null among whole numbers would make them floats."""
+    return F.col(name).cast("string").alias(name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until ``df`` has no such column (names differ by more than case)."""
     taken = {c.lower() for c in df.columns}
