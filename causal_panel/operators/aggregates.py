@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import latest
+from .ordered import match
 
 
 def entity_summaries(rows: DataFrame, entity: str, label: str, features: Sequence[str], how: str = "mean") -> DataFrame:
@@ -26,7 +27,7 @@ def last_observed(rows: DataFrame, entity: str, order: str, columns: Sequence[st
 def with_entity_max(rows: DataFrame, entity: str, column: str, name: str) -> DataFrame:
     """Group maximum on every row, joined from one row per entity."""
     top = rows.groupBy(entity).agg(F.max(column).alias(name))
-    return rows.join(top, entity)
+    return match(rows, top, [entity], "left")
 
 
 def column_profile(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

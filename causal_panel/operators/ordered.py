@@ -21,6 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import staged
+
 LEVELS = 8
 BUCKETS = 1 << LEVELS
 _ALL = "_all_rows"
@@ -31,6 +33,13 @@ def _keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(groups)) if groups else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys among which NULL is a value like any other; the keys of ``left`` are kept."""
+    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def _bucket(value: Column, bounds: Column) -> Column:
     """Number of bounds at or below the value, halving the array each step."""
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(LEVELS))])
@@ -68,7 +77,7 @@ def prefix_totals(
         ).alias("_bounds")
     )
     # One array of fixed length per group.
-    placed = totals.join(F.broadcast(bounds), keys).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
+    placed = match(totals, F.broadcast(bounds), keys).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
     # One exchange serves both the windows and the bucket totals below.
     placed = placed.repartition(*keys, "_bucket")
 
@@ -88,7 +97,7 @@ def prefix_totals(
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.select("*", *[F.sum(n).over(inside).alias(f"_{n}_in") for n in sums])
     # At most BUCKETS rows per group.
-    joined = ranked.join(F.broadcast(offsets), [*keys, "_bucket"])
+    joined = match(ranked, F.broadcast(offsets), [*keys, "_bucket"])
     below = {}
     for n in sums:
         zero = F.lit(0).cast(joined.schema[n].dataType)
@@ -101,6 +110,18 @@ def prefix_totals(
     return joined.select(*columns)
 
 
+def row_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Add the 1-based place of every row in ``order``: ranges are written with their number, so their bounds are drawn once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranges.withColumn("_inside", inside).join(offsets, "_range")
+    return placed.withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_range", "_inside", "_before")
+
+
 def midranks(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "midrank") -> DataFrame:
     """Average 1-based rank of each distinct value, with its row count ``n`` and ``n_all``."""
     prefix = prefix_totals(df, value, {"n": F.lit(1)}, groups)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import prefix_totals
+from .ordered import match, prefix_totals
 
 _HEX = 13  # leading hex digits that a double holds exactly (52 bits)
 
@@ -37,7 +37,7 @@ def _rank(df: DataFrame, ids: Sequence[str], seed: int, strata: Sequence[str] =
     )
     tie = Window.partitionBy(*strata, "_head").orderBy("_hash", *ids)
     ranked = hashed.withColumn("_tie", F.row_number().over(tie) - 1)
-    return ranked.join(prefix, [*strata, "_head"]).withColumn("_rank", F.col("_below") + F.col("_tie")).drop(
+    return match(ranked, prefix, [*strata, "_head"]).withColumn("_rank", F.col("_below") + F.col("_tie")).drop(
         "_hash", "_head", "_below", "_tie"
     )
 
@@ -64,7 +64,8 @@ def make_splits(
 ) -> DataFrame:
     """Entity -> split table: train/val/test of one site, everything else external.
 
-    Stratified on the entity label; every stratum meets its quota exactly. The
+    Stratified on the entity label, a missing label being a stratum of its own;
+    every stratum meets its quota exactly. A missing site counts as another. The
     validation quota is a share of the whole, as ``val / (1 - test)`` of the rest.
     """
     labels = entity_labels(panel, entity, label, (site,))
@@ -74,7 +75,7 @@ def make_splits(
     name = (
         F.when(F.col("_rank") < test, "test").when(F.col("_rank") < test + val, "val").otherwise("train")
     )
-    away = labels.where(F.col(site) != development).select(entity, F.lit("external").alias("split"))
+    away = labels.where(~F.col(site).eqNullSafe(development)).select(entity, F.lit("external").alias("split"))
     return home.select(entity, name.alias("split")).unionByName(away)
 
 
@@ -114,11 +115,11 @@ def grouped_folds(panel: DataFrame, entity: str, label: str, folds: int, seed: i
 def downsample_negatives(
     rows: DataFrame, label: str, ids: Sequence[str], keep_percent: int, seed: int
 ) -> DataFrame:
-    """All positives and exactly ``int(n_negative * keep)`` negatives."""
+    """Exactly ``int(n_negative * keep)`` negatives, and all rows that are not negatives: positives and rows without a label."""
     ranked = _rank(rows.where(F.col(label) == 0), ids, seed)
     quota = F.floor(F.col("_size") * F.lit(keep_percent) / F.lit(100))
     kept = ranked.where(F.col("_rank") < quota).drop("_rank", "_size")
-    return rows.where(F.col(label) == 1).unionByName(kept)
+    return rows.where(~F.col(label).eqNullSafe(0)).unionByName(kept)
 
 
 def sample_rows(rows: DataFrame, ids: Sequence[str], size: int, seed: int) -> DataFrame:

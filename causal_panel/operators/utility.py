@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..spec import UtilityParams
-from .ordered import prefix_totals, quantile_points
+from .ordered import match, prefix_totals, quantile_points
 
 
 def onsets(rows: DataFrame, entity: str, idx: str, y: str, params: UtilityParams, by: Sequence[str] = ()) -> DataFrame:
@@ -49,7 +49,7 @@ def utility_weights(
     The onset is one small row per positive entity, joined back: unlike a window
     this never gathers an entity's rows, and a skewed join side can be split.
     """
-    joined = rows.join(onsets(rows, entity, idx, y, params, by), [*by, entity], "left")
+    joined = match(rows, onsets(rows, entity, idx, y, params, by), [*by, entity], "left")
     u_pos, u_neg = weight_columns(F.col(idx) - F.col("onset"), params)
     weighted = joined.withColumns({"u_pos": u_pos, "u_neg": u_neg}).drop("onset")
     return weighted.withColumn("delta", F.col("u_pos") - F.col("u_neg"))

@@ -169,19 +169,24 @@ def win_block_columns(spark, sf):
     )
 
 
-@query("exp_no_lookahead", "SELECT 'unused' AS entity, 0 AS idx WHERE false")
+CUTS = (1, 5, 13, 24, 47, 300)
+
+
+@query("exp_no_lookahead", f"WITH {PANEL_SQL} SELECT cut, count(*) AS compared, 0::BIGINT AS changed FROM panel, (SELECT unnest([{', '.join(map(str, CUTS))}]) AS cut) WHERE idx < cut GROUP BY cut")
 def exp_no_lookahead(spark, sf):
-    """Rows whose features change when later hours are cut off: there must be none."""
+    """Per cut: hours before it, and those whose features change when the hours from it on are taken away (none may)."""
     p = panel(spark, sf)
-    blocks = [b for b in windows.BLOCKS if b != "clinical"]
-    whole = _block(spark, sf, *blocks)
-    cut = windows.build_features(p.where(F.col("idx") < 300), SPEC, blocks=blocks, dtype="double", longest=300)
+    blocks = [b for b in windows.BLOCKS if b != "clinical"]  # the panel has no clinical channels
     names = windows.feature_columns(SPEC, blocks)
-    view = lambda d: d.where(F.col("idx") < 300).select(
-        F.col("entity").cast("string").alias("entity"), "idx", *[r6(F.col(n)).alias(n) for n in names]
-    )
-    a, b = view(whole), view(cut)
-    return a.exceptAll(b).union(b.exceptAll(a)).select("entity", "idx")
+    digest = F.xxhash64(*[r6(F.col(n)) for n in names])
+    whole = _block(spark, sf, *blocks).where(F.col("idx") < max(CUTS)).select("entity", "idx", digest.alias("whole"))
+    # Each cut is a panel of its own, told apart by the entity's name.
+    hours = p.where(F.col("idx") < max(CUTS)).withColumn("cut", F.explode(F.array(*[F.lit(c) for c in CUTS]))).where("idx < cut")
+    named = hours.withColumns({"real": F.col("entity"), "entity": F.concat_ws("@", "entity", "cut")})
+    spec = replace(SPEC, carried_ids=(*SPEC.carried_ids, "real", "cut"))
+    cut = windows.build_features(named, spec, blocks=blocks, dtype="double").select(F.col("real").alias("entity"), "cut", "idx", digest.alias("part"))
+    both = cut.join(whole, ["entity", "idx"], "full")
+    return both.groupBy("cut").agg(F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("whole").eqNullSafe(F.col("part"))).alias("changed")).where("cut IS NOT NULL")
 
 
 # --- row-local ------------------------------------------------------------------
@@ -283,14 +288,16 @@ def prj_administrative(spark, sf):
 _STAY = "(PARTITION BY l_orderkey ORDER BY hour, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)"
 CLINICAL = {**SIRS, **QSOFA, **ORGAN, **HEMO, **METAB, **ADMIN}
 SNAP_SPEC = replace(
-    SPEC, entity="l_orderkey", order="l_linenumber", index="idx", label="y", site=None,
+    SPEC, entity="l_orderkey", order="line", index="idx", label="y", site=None,
     vitals=("HR", "O2Sat", "Temp", "SBP", "MAP", "DBP", "Resp"),
     labs=("PaCO2", "WBC", "Platelets", "Bilirubin_total", "Creatinine", "Lactate", "SaO2", "FiO2", "BUN", "Chloride", "HCO3", "pH", "Hgb", "Hct"),
-    statics=("Age", "Gender", "Unit1", "Unit2", "HospAdmTime", "ICULOS"), carried_ids=(), clinical=True,
+    statics=("Age", "Gender", "Unit1", "Unit2", "HospAdmTime", "ICULOS"), carried_ids=("l_linenumber",), clinical=True,
 )
 _SNAP_CHANNELS = SNAP_SPEC.channels
-_STAY_ROWS = f"""stay AS (SELECT * FROM snap QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
-held AS (SELECT * REPLACE ({', '.join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS {c}" for c in _SNAP_CHANNELS)}) FROM stay)"""
+# Lines of one number are told apart by all their columns; those that agree in all of them are alike.
+_LINE_ORDER = ", ".join(("l_linenumber", *(f"{c} NULLS FIRST" for c in _SNAP_CHANNELS), *(f"{c} NULLS FIRST" for c in SNAP_SPEC.statics)))
+_STAY_ROWS = f"""stay AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER}) AS line FROM snap),
+held AS (SELECT * REPLACE ({', '.join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY line ROWS UNBOUNDED PRECEDING) AS {c}" for c in _SNAP_CHANNELS)}) FROM stay)"""
 
 
 @query(
@@ -298,9 +305,8 @@ held AS (SELECT * REPLACE ({', '.join(f"last_value({c} IGNORE NULLS) OVER (PARTI
     f"""WITH {SNAPSHOT_SQL}, {_STAY_ROWS} SELECT {', '.join(IDS)}, {', '.join(f'{s6(e)} AS {n}' for n, e in CLINICAL.items())} FROM held""",
 )
 def prj_build_clinical(spark, sf):
-    rows = snapshot(spark, sf)
-    unique = rows.groupBy(*IDS).agg(F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-    built = windows.build_features(rows.join(unique, list(IDS)), SNAP_SPEC, blocks=("clinical",), dtype="double")
+    rows = snapshot(spark, sf).withColumn("line", F.expr(f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINE_ORDER})"))
+    built = windows.build_features(rows, SNAP_SPEC, blocks=("clinical",), dtype="double")
     return built.select(*IDS, *[r6(F.col(n)).alias(n) for n in CLINICAL])
 
 

@@ -224,9 +224,9 @@ DRIFT_FEATURES = ("qty", "price", "discount", "tax")
 
 
 def drift_pair(spark: SparkSession, sf: str) -> DataFrame:
-    """Returned lines as reference (side 0), accepted ones as comparison (side 1)."""
-    lines = table(spark, sf, "lineitem").where(F.col("l_returnflag").isin("R", "A"))
-    other = F.col("l_returnflag") == "A"
+    """Returned lines as reference (side 0), all others as comparison (side 1)."""
+    lines = table(spark, sf, "lineitem")
+    other = F.col("l_returnflag") != "R"
     return lines.select(
         other.cast("int").alias("side"),
         F.when(~other | (F.col("l_orderkey") % 10 >= 3), F.col("l_quantity")).alias("qty"),
@@ -235,7 +235,7 @@ def drift_pair(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DRIFT_SQL = """pair AS (
-  SELECT (l_returnflag = 'A')::INTEGER AS side,
+  SELECT (l_returnflag <> 'R')::INTEGER AS side,
          CASE WHEN l_returnflag = 'R' OR l_orderkey % 10 >= 3 THEN l_quantity END AS qty,
          l_extendedprice AS price, l_discount AS discount, l_tax AS tax
-  FROM lineitem WHERE l_returnflag IN ('R', 'A'))"""
+  FROM lineitem)"""

@@ -207,19 +207,20 @@ def agg_wide_results(spark, sf):
 
 
 # --- sorts and top-k ---------------------------------------------------------------
-@query("sort_canonical", f"WITH {PANEL_SQL} SELECT row_number() OVER (ORDER BY entity, idx) AS position, entity, idx FROM (SELECT * FROM panel ORDER BY entity, idx LIMIT 500)")
+@query("sort_canonical", f"WITH {PANEL_SQL} SELECT row_number() OVER (ORDER BY entity, idx) AS position, entity, idx FROM panel")
 def sort_canonical(spark, sf):
-    first = panel(spark, sf).select("entity", "idx").orderBy("entity", "idx").limit(500)
-    from pyspark.sql import Window
-
-    return first.withColumn("position", F.row_number().over(Window.orderBy("entity", "idx")).cast("bigint"))
+    """Every hour with its place in the order of entity and hour: the rows of earlier entities and the hour's own index."""
+    rows = panel(spark, sf).select("entity", "idx")
+    before = ordered.prefix_totals(rows, "entity", {"n": F.lit(1)}).select("entity", "n_below")
+    return rows.join(before, "entity").select((F.col("n_below") + F.col("idx") + 1).alias("position"), "entity", "idx").orderBy("entity", "idx")
 
 
-@query("sort_missing_last", f"WITH {SUMMARY_SQL} SELECT entity, price FROM (SELECT entity, CASE WHEN entity % 3 <> 0 THEN price END AS price FROM summary) ORDER BY price DESC NULLS LAST, entity LIMIT 100")
+@query("sort_missing_last", f"WITH {SUMMARY_SQL} SELECT entity, price, row_number() OVER (ORDER BY price DESC NULLS LAST, entity) AS position FROM (SELECT entity, CASE WHEN entity % 3 <> 0 THEN price END AS price FROM summary)")
 def sort_missing_last(spark, sf):
     rows = aggregates.entity_summaries(order_rows(spark, sf), "entity", "y", ["price"])
     rows = rows.select("entity", F.when(F.col("entity") % 3 != 0, F.col("price")).alias("price"))
-    return rows.orderBy(F.desc_nulls_last("price"), "entity").limit(100)
+    # Missing prices lie behind all others; prices in descending order, entities of one price in ascending order.
+    return ordered.row_positions(rows, [F.col("price").desc_nulls_last(), F.col("entity").asc()]).select("entity", "price", "position")
 
 
 @query("sort_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -307,9 +308,13 @@ def split_sample_rows(spark, sf):
     return splits.sample_rows(panel(spark, sf).select("entity", "idx"), ["entity", "idx"], 1000, SEED)
 
 
-@query("split_disjoint", "SELECT 0::BIGINT AS entity, 0::BIGINT AS n_splits WHERE false")
+@query("split_disjoint", f"WITH {PANEL_SQL} SELECT count(DISTINCT entity) AS assigned, 0::BIGINT AS overlapping, 0::BIGINT AS missing FROM panel")
 def split_disjoint(spark, sf):
-    return splits.overlapping_entities(assignment(spark, sf), "entity")
+    """Entities with a split, in more than one split, and in none: all are in exactly one."""
+    assigned, rows = assignment(spark, sf), panel(spark, sf).select("entity").distinct()
+    overlapping = splits.overlapping_entities(assigned, "entity").agg(F.count(F.lit(1)).alias("overlapping"))
+    missing = rows.join(assigned, "entity", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    return assigned.agg(F.countDistinct("entity").alias("assigned")).crossJoin(overlapping).crossJoin(missing)  # one row each
 
 
 @query(
