@@ -3,7 +3,7 @@ import pytest
 from panels import cohort
 from pyspark.sql import functions as F
 
-from causal_panel.operators import alerts, bootstrap, discrimination, evaluation, reliability, utility
+from causal_panel.operators import alerts, bootstrap, discrimination, evaluation, reliability, splits, utility
 from causal_panel.operators.calibrators import Calibrator
 
 SCHEMA = "entity string, idx int, y int, score double"
@@ -122,3 +122,28 @@ def test_calibration_keeps_order_and_lowers_brier(spark):
         out = Calibrator(method).fit(df).transform(df)
         assert auc(out, "calibrated") == pytest.approx(auc(df, "score"), abs=slack)
         assert reliability.brier(out, "calibrated").first()["brier"] < reliability.brier(df).first()["brier"]
+
+
+def test_missing_labels_and_groups_lose_no_rows(spark):
+    people = [(f"e{k}", "A", None if k % 7 == 0 else int(k % 3 == 0)) for k in range(20)]
+    panel = spark.createDataFrame([(*p, h) for p in people for h in range(2)], "entity string, site string, y int, idx int")
+    assert splits.make_splits(panel, "entity", "y", "site", "A", 1).count() == 20
+    assert splits.grouped_folds(panel, "entity", "y", 4, 1).count() == 20
+    kept = splits.downsample_negatives(panel, "y", ["entity", "idx"], 50, 1).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in kept} == {None: 6, 1: 12, 0: 11}
+    away = panel.withColumn("site", F.when(F.col("entity") != "e1", F.col("site")))
+    assert splits.make_splits(away, "entity", "y", "site", "A", 1).count() == 20
+
+    rows = [(g, k / 10, int(k > 4)) for g in ("x", None) for k in range(10)]
+    scores = spark.createDataFrame(rows, "model string, score double, y int")
+    found = discrimination.auroc(discrimination.label_prefix(scores, groups=["model"]), ["model"]).collect()
+    assert {r.model: r.auroc for r in found} == {"x": 1.0, None: 1.0}
+
+
+def test_bootstrap_leaves_out_missing_scores(spark):
+    rng = np.random.default_rng(4)
+    scored = [(f"e{k}", float(s), int(rng.random() < s)) for k, s in enumerate(rng.random(300))]
+    blank = [(f"m{k}", v, 1) for k, v in enumerate([None, float("nan")] * 80)] + [("z", 0.5, None)]
+    schema = "entity string, score double, y int"
+    alone, mixed = (bootstrap.cluster_bootstrap_ci(spark.createDataFrame(r, schema), n_boot=60).first() for r in (scored, scored + blank))
+    assert tuple(alone) == pytest.approx(tuple(mixed)) and alone.ci_low < alone.point < alone.ci_high
