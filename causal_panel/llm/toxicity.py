@@ -230,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRule(
             looked = pd.DataFrame([markers.look(t) for t in frame["text"]], columns=["votes", "features"], index=frame.index)
             yield looked.assign(toxic=frame["toxic"])
 
-    sample = rows.mapInPandas(look, "votes int, features array<int>, toxic int").orderBy("votes", "features", "toxic").collect()  # at most ``labelled`` rows
+    sample = sorted(rows.mapInPandas(look, "votes int, features array<int>, toxic int").collect())  # at most ``labelled`` rows
     votes, labelled = np.array([r.votes for r in sample], np.int64), np.array([r.toxic for r in sample], np.int64)
     return ToxicityModel(markers, model, fit_linear([r.features for r in sample], model.posterior(votes, labelled), len(markers.places)))
 
