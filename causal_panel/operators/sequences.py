@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from .aggregates import column_moments
-from .ordered import prefix_totals
-from .splits import _rank
-from .timeline import CHUNK_ROWS
+from .ordered import match, row_positions
+from .splits import hash_order
 
 STATIC_FEATURES = ("age", "gender", "unit_micu", "unit_sicu", "unit_unknown", "hosp_adm_time", "log_iculos")
 
@@ -38,7 +37,7 @@ class SequenceEncoder:
         masks = [F.col(c).isNotNull().cast("double") for c in self.values]
         return F.array(*filled, *masks, *[F.coalesce(scaled(c), F.lit(0.0)) for c in self.statics])
 
-    def transform(self, rows: DataFrame, entity: str, idx: str, label: str, longest: int = CHUNK_ROWS) -> DataFrame:
+    def transform(self, rows: DataFrame, entity: str, idx: str, label: str, longest: int) -> DataFrame:
         """One row per entity with its steps and labels in order.
 
         Stays longer than ``longest`` continue in further segments, so no row
@@ -63,14 +62,14 @@ def make_batches(
 ) -> DataFrame:
     """Batches of similar length, padded to their own longest member.
 
-    Sequences are numbered by (length, hash order) with distributed ranks; padded
+    Sequences are numbered in the order of length and hash, range by range; padded
     steps weigh 0, positive steps ``positive_weight``.
     """
-    shorter = prefix_totals(sequences.select(F.col("n").alias("_len")), "_len", {"k": F.lit(1)}).select(
-        F.col("_len").alias("n"), "k_below"
-    )
-    numbered = _rank(sequences, [entity, "segment"], seed, ["n"]).join(F.broadcast(shorter), "n")
-    position = F.col("k_below") + F.col("_rank")
+    keys = [entity, "segment"]
+    order = [F.col("n"), hash_order(seed, *keys), *[F.col(k) for k in keys]]
+    places = row_positions(sequences.select(*keys, "n"), order, "_place").select(*keys, "_place")  # narrow rows
+    numbered = match(sequences, places, keys)
+    position = F.col("_place") - 1
     placed = numbered.withColumn("batch", F.floor(position / F.lit(batch_size))).withColumn("slot", F.pmod(position, F.lit(batch_size)).cast("int"))
     tops = placed.groupBy("batch").agg(F.max("n").alias("steps"))
     padded = placed.join(tops, "batch")

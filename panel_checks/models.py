@@ -189,7 +189,7 @@ def ml_sequence_encoder(spark, sf):
 def ml_make_batches(spark, sf):
     rows = build_features(panel(spark, sf), SPEC, blocks=("locf",), longest=span_hours(spark, sf), dtype="double")
     encoder = sequences.fit_sequence_encoder(rows, _V, ())
-    batches = sequences.make_batches(encoder.transform(rows, "entity", "idx", "y"), "entity", encoder.n_features, batch_size=16, positive_weight=5.0)
+    batches = sequences.make_batches(encoder.transform(rows, "entity", "idx", "y", span_hours(spark, sf)), "entity", encoder.n_features, batch_size=16, positive_weight=5.0)
     whole = F.raise_error(F.lit("arrays are not padded to the batch"))
     checked = F.when((F.size("x") == F.col("steps")) & (F.size("y") == F.col("steps")) & (F.size("w") == F.col("steps")), F.col("steps")).otherwise(whole)
     return batches.select("batch", "slot", "entity", "n", checked.cast("int").alias("steps"), F.aggregate("w", F.lit(0.0), lambda a, v: a + v).alias("weight"))

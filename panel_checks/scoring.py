@@ -293,12 +293,12 @@ def met_lead_time_histogram(spark, sf):
 
 @query("met_bootstrap_auroc")
 def met_bootstrap_auroc(spark, sf):
-    return bootstrap.cluster_bootstrap_ci(wide_scores(spark, sf), score="a", metric="auroc", n_boot=100)
+    return bootstrap.cluster_bootstrap_ci(wide_scores(spark, sf), score="a", metric="auroc")
 
 
 @query("met_bootstrap_auprc")
 def met_bootstrap_auprc(spark, sf):
-    return bootstrap.cluster_bootstrap_ci(wide_scores(spark, sf), score="a", metric="auprc", n_boot=100)
+    return bootstrap.cluster_bootstrap_ci(wide_scores(spark, sf), score="a", metric="auprc")
 
 
 # --- blending ---------------------------------------------------------------------------
