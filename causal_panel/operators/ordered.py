@@ -216,10 +216,11 @@ def quantile_edges(prefix: DataFrame, value: str, bins: int, groups: Sequence[st
     return edges.select(*groups, "edges")
 
 
-def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
+def histogram(df: DataFrame, value: str, edges: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """Counts on given edges: left-closed bins, the last one closed on both sides.
 
-    Values outside the edges are not counted; empty bins are reported with 0.
+    Values outside the edges are not counted; empty bins are reported with 0, in
+    every group of ``df``.
     """
     spark = df.sparkSession
     v = F.col(value)
@@ -227,10 +228,13 @@ def histogram(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
     position = sum([(v >= e).cast("int") for e in interior], F.lit(0))
     counted = (
         df.where((v >= F.lit(float(edges[0]))) & (v <= F.lit(float(edges[-1]))))
-        .groupBy(position.alias("bin"))
+        .groupBy(*groups, position.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     frame = spark.createDataFrame(
         [(i, float(edges[i]), float(edges[i + 1])) for i in range(len(edges) - 1)], "bin int, low double, high double"
     )
-    return frame.join(counted, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    if groups:  # a row per bin for every group
+        bins = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(float(edges[i])).alias("low"), F.lit(float(edges[i + 1])).alias("high")) for i in range(len(edges) - 1)])
+        frame = df.select(*groups).distinct().withColumn("_bin", F.explode(bins)).select(*groups, "_bin.*")
+    return match(frame, counted, [*groups, "bin"], "left").select(*groups, "bin", "low", "high", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

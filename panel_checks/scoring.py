@@ -283,12 +283,12 @@ def met_lead_time_summary(spark, sf):
 
 @query(
     "met_lead_time_histogram",
-    f"""WITH {SCORES_SQL}, {TIMING_SQL}, l AS (SELECT least(lead_time_hours, 48) AS lead FROM timing WHERE model = 'a' AND lead_time_hours > 0),
+    f"""WITH {SCORES_SQL}, {TIMING_SQL}, l AS (SELECT model, least(lead_time_hours, 48) AS lead FROM timing WHERE lead_time_hours > 0), m AS (SELECT DISTINCT model FROM timing),
         e AS (SELECT i, i * 2.0::DOUBLE AS low, (i + 1) * 2.0::DOUBLE AS high FROM (SELECT unnest(range(0, 24)) AS i))
-        SELECT low AS lead_time_low, high AS lead_time_high, count(lead) AS admissions FROM e LEFT JOIN l ON lead >= low AND (lead < high OR (i = 23 AND lead = high)) GROUP BY 1, 2""",
+        SELECT m.model, low AS lead_time_low, high AS lead_time_high, count(lead) AS admissions FROM m CROSS JOIN e LEFT JOIN l ON l.model = m.model AND lead >= low AND (lead < high OR (i = 23 AND lead = high)) GROUP BY 1, 2, 3""",
 )
 def met_lead_time_histogram(spark, sf):
-    return alerts.lead_time_histogram(timing(spark, sf).where("model = 'a'"))
+    return alerts.lead_time_histogram(timing(spark, sf), groups=["model"])
 
 
 @query("met_bootstrap_auroc")
