@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+    """A session for tests and the benchmark; clusters bring their own.
+
+    The package is put on the workers' path, small inputs are spread over all
+    cores, and the shared folder is a temporary one unless the environment says otherwise.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("causal_panel")
@@ -17,6 +23,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.executorEnv.PYTHONPATH", root)
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "65536")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="causal-panel-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -14,14 +14,8 @@ ORACLES: dict[str, str] = {}
 MODULES = ("panels", "features", "tables", "scoring", "statistics", "models", "studies", "streams")
 
 
-def _spread(spark: SparkSession) -> SparkSession:
-    """Let small inputs use all cores: Spark's defaults pack megabytes into one task.
-
-    These only lower the sizes below which partitions are merged, so they do not
-    change how large inputs are cut.
-    """
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
+def _in_utc(spark: SparkSession) -> SparkSession:
+    """Timestamps without a zone are compared with SQL that has none."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -32,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = wraps(fn)(lambda spark, sf: fn(_spread(spark), sf))
+        QUERIES[name] = wraps(fn)(lambda spark, sf: fn(_in_utc(spark), sf))
         if sql is not None:
             ORACLES[name] = sql
         return fn

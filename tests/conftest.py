@@ -12,6 +12,5 @@ def spark():
     from causal_panel.session import local_session
 
     session = local_session(4, shuffle_partitions=4, memory="4g")
-    session.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     yield session
     session.stop()
