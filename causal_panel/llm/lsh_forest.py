@@ -156,28 +156,21 @@ def _regions(rule: ForestRule):
         node, root = local_roots(ids[i[i < j]], ids[j[i < j]])
         return pd.DataFrame({"a": node, "b": root, "region": None, "tile": None, "ids": None, "sizes": None, "signatures": None})
 
-    def parts(labels: np.ndarray) -> Iterator[tuple[int, int]]:
-        """A run with equal shallow labels, whole if it is small, else cut where the deep labels change."""
-        if len(labels) <= rule.tile:
-            yield 0, len(labels)
-            return
-        cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
-        yield from zip(cuts, cuts[1:])
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for frame in _runs(frames, ["tree", "shallow"]):
-            ids, sizes, deep = (frame[c].to_numpy(np.int64) for c in ("rep", "n_shingles", "deep"))
-            signs = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), rule.hashes)
-            for a, b in parts(deep):
-                if b - a <= rule.tile:
-                    if b - a > 1:
-                        out.append(compared(ids[a:b], sizes[a:b], signs[a:b]))
-                    continue
-                for k, at in enumerate(range(a, b, rule.tile)):
-                    s = slice(at, min(at + rule.tile, b))
+        for frame in _runs(frames, ["tree", "region"]):
+            n = len(frame)
+            if n > 1:
+                ids, sizes = (frame[c].to_numpy(np.int64) for c in ("rep", "n_shingles"))
+                signs = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(n, rule.hashes)
+            if 1 < n <= rule.tile:
+                out.append(compared(ids, sizes, signs))
+            elif n > rule.tile:
+                for at in range(0, n, rule.tile):
+                    s = slice(at, at + rule.tile)
                     out.append(pd.DataFrame([{
-                        "a": None, "b": None, "region": int(deep[a]), "tile": k, "ids": ids[s].tobytes(), "sizes": sizes[s].tobytes(), "signatures": signs[s].tobytes(),
+                        "a": None, "b": None, "region": int(frame["region"].iloc[0]), "tile": at // rule.tile,
+                        "ids": ids[s].tobytes(), "sizes": sizes[s].tobytes(), "signatures": signs[s].tobytes(),
                     }]))
             if len(out) > 500:
                 yield pd.concat(out)
@@ -195,9 +188,11 @@ def candidate_clusters(nodes: DataFrame, rule: ForestRule) -> DataFrame:
     label = lambda t, depth: F.xxhash64(F.lit(t), *(value(t * rule.deep + k) for k in range(depth)))
     trees = F.array(*(F.struct(F.lit(t).alias("tree"), label(t, rule.shallow).alias("shallow"), label(t, rule.deep).alias("deep")) for t in range(rule.trees)))
     leaves = nodes.select("rep", F.explode(trees).alias("leaf")).select("rep", "leaf.*")
-    shared = leaves.groupBy("tree", "shallow").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    leaves = staged(leaves.join(shared, ["tree", "shallow"]), "forest-leaves")  # nodes that are alone in their region are gone
-    rows = spread(leaves.join(nodes, "rep"), "tree", "shallow").sortWithinPartitions("tree", "shallow", "deep", "rep")
+    shared = leaves.groupBy("tree", "shallow").agg(F.count("*").alias("n")).filter("n > 1")
+    region = F.when(F.col("n") > rule.tile, F.col("deep")).otherwise(F.col("shallow"))  # the depth of each region
+    leaves = leaves.join(shared, ["tree", "shallow"]).select("rep", "tree", region.alias("region"))
+    leaves = staged(leaves, "forest-leaves")  # nodes that are alone in their region are gone
+    rows = spread(leaves.join(nodes, "rep"), "tree", "region").sortWithinPartitions("tree", "region", "rep")
     found = staged(rows.mapInPandas(_regions(rule), FOUND), "forest-links")
     tiles = found.filter("region IS NOT NULL")
     side = lambda s: tiles.select("region", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "ids", "sizes", "signatures")))
