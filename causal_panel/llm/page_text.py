@@ -1,9 +1,11 @@
 """HTML extraction by markup roles and nearest-URL page differencing.
 
-A page becomes lines, one per block. Lines inside elements whose tag, class, id or
-role names a menu, header, footer, sidebar, notice, advert, form or comment are
-not text. Lines inside ``article`` or ``main`` are text. For the rest markup does
-not tell, and the site does: pages of a host are paired with their neighbours in
+A page becomes lines, one per block. Lines inside elements whose tag, role, or a
+whole class or id names a menu, header, footer, sidebar, notice, advert, form or
+comment are not text. A name that is only a part of a class or id ("site-footer",
+"has-sidebar", "related-work") drops no element that holds ``article`` or ``main`` or
+lies in one or, on a page without them, has most of its letters. Lines inside
+``article`` or ``main`` are text. For the rest markup does not tell, and the site does: pages of a host are paired with their neighbours in
 the order of URL paths, the lines of both are aligned by a longest common
 subsequence, and lines that both have are deleted. A neighbour that has all of a
 page's lines is a copy of it, not a template, and deletes nothing.
@@ -37,6 +39,7 @@ NAMES = frozenset(
     "social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 TEXT = frozenset(("article", "main"))
+WITH = frozenset("has have hide no not with without".split())  # "has-sidebar" is no sidebar
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I
@@ -45,41 +48,50 @@ _attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _parts = re.compile(r"[a-z]+")
 
 
-def _dropped(tag: str, attributes: str, inside_text: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside_text:
-        return True
+def _named(tag: str, attributes: str, inside_text: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether a part of a class or id would drop it if no text lies in or around it."""
+    if tag in DROPPED and tag != "form" or tag == "header" and not inside_text:
+        return True, False
+    part = tag == "form"  # some sites have the whole page in one form
+    if tag == "form" and inside_text:
+        return True, False
     if attributes and tag not in TEXT and tag not in ("html", "body"):
         for name, *values in _attribute.findall(attributes):
-            found = _parts.findall("".join(values).lower())
-            if any(f in ROLES for f in found) if name.lower() == "role" else any(f in NAMES for f in found):
-                return True
-    return False
+            tokens = "".join(values).lower().split()
+            if any(t in (ROLES if name.lower() == "role" else NAMES) for t in tokens):
+                return True, False
+            if name.lower() != "role" and not part:
+                runs = [_parts.findall(t) for t in tokens]
+                part = any(b in NAMES and a not in WITH for found in runs for a, b in zip(["", *found], found))
+    return False, part and not inside_text
 
 
 def page_lines(source: str) -> list[tuple[str, bool]]:
     """(line, whether markup says that it is text) of every block outside dropped elements, in page order."""
-    lines: list[tuple[str, bool]] = []
-    parts: list[str] = []
-    opened: list[tuple[str, bool]] = []  # block elements, and inline ones below a dropped one
+    lines: list[tuple[list[tuple[str, tuple[int, ...]]], bool]] = []
+    parts: list[tuple[str, tuple[int, ...]]] = []
+    opened: list[tuple[str, bool, int]] = []  # block elements, and inline ones below or at a dropped or partly named one
+    holds: list[bool] = []  # for each partly named element whether it holds article or main
+    around: tuple[int, ...] = ()
     dropped = text = at = 0
 
     def flush() -> None:
         if parts:
-            line = " ".join(html.unescape("".join(parts)).split())
-            if line:
-                lines.append((line, text > 0))
+            lines.append((parts[:], text > 0))
             parts.clear()
 
     def close(depth: int) -> None:
-        nonlocal dropped, text
-        for tag, drop in opened[depth:]:
+        nonlocal dropped, text, around
+        for tag, drop, part in opened[depth:]:
             dropped -= drop
             text -= tag in TEXT
+            if part >= 0:
+                around = around[:-1]
         del opened[depth:]
 
     for m in _token.finditer(source):
         if not dropped and m.start() > at:
-            parts.append(source[at:m.start()])
+            parts.append((source[at:m.start()], around))
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -88,7 +100,7 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
         if breaks:
             flush()
         elif tag in ("br", "td", "th"):
-            parts.append(" ")
+            parts.append((" ", ()))
         if m[2]:
             depth = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == tag), -1)
             if depth >= 0:
@@ -98,17 +110,36 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
             continue
         if breaks and opened and opened[-1][0] == "p":  # a block ends an open paragraph
             close(len(opened) - 1)
-        if tag == "body" and any(t == "head" for t, _ in opened):
-            close(next(i for i, (t, _) in enumerate(opened) if t == "head"))
-        drop = _dropped(tag, m[4], text > 0)
-        if breaks or drop or dropped:
-            opened.append((tag, drop))
+        if tag == "body" and any(t == "head" for t, _, _ in opened):
+            close(next(i for i, (t, _, _) in enumerate(opened) if t == "head"))
+        drop, part = _named(tag, m[4], text > 0)
+        if tag in TEXT and not dropped:
+            for k in around:
+                holds[k] = True
+        if breaks or drop or part or dropped or around:
+            opened.append((tag, drop, len(holds) if part else -1))
+            if part:
+                around += (len(holds),)
+                holds.append(False)
             dropped += drop
             text += tag in TEXT
     if not dropped:
-        parts.append(source[at:])
+        parts.append((source[at:], around))
     flush()
-    return lines
+    if holds and not any(text for _, text in lines):
+        letters, whole = [0] * len(holds), 0
+        for x, names in (part for found, _ in lines for part in found):
+            size = len("".join(x.split()))
+            whole += size
+            for k in names:
+                letters[k] += size
+        holds = [2 * n > whole for n in letters]
+
+    def kept(found: list[tuple[str, tuple[int, ...]]]) -> str:
+        return "".join(x for x, names in found if all(holds[k] for k in names))
+
+    done = ((" ".join(html.unescape(kept(found)).split()), text) for found, text in lines)
+    return [(line, text) for line, text in done if line]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

@@ -45,6 +45,16 @@ def test_page_lines(source, lines):
     assert [line for line, _ in page_text.page_lines(source)] == lines
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-ads", "with-navbar", "form-page", "layout--no-banner"])
+def test_wrappers_with_a_name_in_their_class_keep_the_article(name):
+    story = '<div class="site-footer">About us</div><main><h2 id="related-work">Related work</h2><section id="social-effects"><p>Effects.</p></section><p id="share-prices">Prices.</p></main>'
+    for source in (f'<div class="{name}">{story}</div>', f'<form id="aspnetForm"><div id="{name}">{story}</div></form>', f'<span class="{name}">{story}</span>'):
+        assert page_text.page_lines(source) == [(x, True) for x in ("Related work", "Effects.", "Prices.")]
+    assert page_text.page_lines(f'<div class="{name}"><h1>Title</h1><p>Story.</p></div>') == [("Title", False), ("Story.", False)]
+    whole = '<div class="comments"><article>Nice!</article></div><div class="a sidebar b">Menu</div><form>Mail</form><article><div class="ad">Buy</div><p>Story.</p><form>Vote</form></article>'
+    assert page_text.page_lines(whole) == [("Story.", True)]
+
+
 def test_lines_that_neighbours_share_are_deleted(spark):
     page = lambda k: f"<div>Our Site</div><div>Home | Products</div><p>Story {k} begins.</p><p>It ends {k}.</p><div>All rights reserved</div>"
     rows = [(k, f"https://a.example.org/news/{k:03d}", page(k)) for k in range(40)]
