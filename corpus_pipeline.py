@@ -2,7 +2,8 @@
 
 ``run(spark, sf_dir)`` applies STAGES to ``documents``. A stage takes (spark, docs,
 sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs; all but the last return the columns of documents.
+next stage's docs; all but the last return the columns of documents. Near-duplicates
+are documents whose sets of five-word shingles have a similarity of 0.8 or more (NEAR).
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from causal_panel.llm.text import table
 from causal_panel.session import staged
 
 
+#: At 0.80 a pair is in no common region of 32 trees of depth 4 with probability (1 - 0.8**4)**32 = 5e-8,
+#: and its signatures agree in fewer than 0.61 of 128 hashes with 6e-7.
+NEAR = lsh_forest.ForestRule(words=5, percent=80, trees=32, screen=0.61)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -23,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one whose id is the smallest. Rows without an id stay."""
-    grouped = lsh_forest.near_duplicates(docs)
+    """One document of each near-duplicate group (similarity of 0.8 or more): the one whose id is the smallest. Rows without an id stay."""
+    grouped = lsh_forest.near_duplicates(docs, NEAR)
     gone = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

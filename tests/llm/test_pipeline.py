@@ -1,11 +1,12 @@
 """The pipeline stage by stage, and the text queries against their SQL."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
 import verify
-from test_documents import awkward, brute_components
+from test_documents import awkward, brute_components, corpus, near_texts, shingles
 
 import corpus_pipeline
 from causal_panel.llm import queries
@@ -52,6 +53,21 @@ def test_stages_do_what_they_say(spark, tmp_path):
     assert pieces == copies
 
 
+def test_near_duplicate_stage_takes_pairs_from_0_80_on(spark):
+    texts = near_texts(random.Random(1))
+    sets = [shingles(t) for t in texts]
+    similar = lambda i, j: sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    first = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if similar(i, j) and first[i] != first[j]:
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = [new if x == old else x for x in first]
+    wanted = [i for i, x in enumerate(first) if i == x]
+    assert len(wanted) < sum(i == x for i, _, x in brute_components(texts))
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, corpus(spark, texts), SF).collect()) == wanted
+
+
 def test_stages_take_awkward_rows(spark):
     docs = awkward(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
