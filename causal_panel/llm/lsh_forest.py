@@ -145,33 +145,21 @@ def _agreeing(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarr
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-FOUND = "a long, b long, region long, tile int, ids binary, sizes binary, signatures binary"
+GROUP = ["tree", "region", "low", "high"]
 
 
-def _regions(rule: ForestRule):
-    """Sorted rows of the trees to spanning links of their regions; large regions leave as tiles."""
-
-    def compared(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> pd.DataFrame:
-        i, j = _agreeing(signs, signs, sizes, sizes, rule)
-        node, root = local_roots(ids[i[i < j]], ids[j[i < j]])
-        return pd.DataFrame({"a": node, "b": root, "region": None, "tile": None, "ids": None, "sizes": None, "signatures": None})
+def _compared(rule: ForestRule):
+    """Rows sorted by GROUP to the spanning links of each group: pairs of its tile ``low`` with its tile ``high``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for frame in _runs(frames, ["tree", "region"]):
-            n = len(frame)
-            if n > 1:
-                ids, sizes = (frame[c].to_numpy(np.int64) for c in ("rep", "n_shingles"))
-                signs = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(n, rule.hashes)
-            if 1 < n <= rule.tile:
-                out.append(compared(ids, sizes, signs))
-            elif n > rule.tile:
-                for at in range(0, n, rule.tile):
-                    s = slice(at, at + rule.tile)
-                    out.append(pd.DataFrame([{
-                        "a": None, "b": None, "region": int(frame["region"].iloc[0]), "tile": at // rule.tile,
-                        "ids": ids[s].tobytes(), "sizes": sizes[s].tobytes(), "signatures": signs[s].tobytes(),
-                    }]))
+        for frame in _runs(frames, GROUP):
+            ids, sizes = (frame[c].to_numpy(np.int64) for c in ("rep", "n_shingles"))
+            signs = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(len(frame), rule.hashes)
+            x, y = (np.flatnonzero(frame["tile"].to_numpy() == frame[c].iloc[0]) for c in ("low", "high"))
+            i, j = _agreeing(signs[x], signs[y], sizes[x], sizes[y], rule)
+            node, root = local_roots(ids[x[i]], ids[y[j]])
+            out.append(pd.DataFrame({"a": node, "b": root}))
             if len(out) > 500:
                 yield pd.concat(out)
                 out = []
@@ -181,8 +169,13 @@ def _regions(rule: ForestRule):
     return run
 
 
-def candidate_clusters(nodes: DataFrame, rule: ForestRule) -> DataFrame:
-    """(node, component): clusters that hold every pair of similar nodes, from (rep, n_shingles, signature)."""
+def dealt_leaves(nodes: DataFrame, rule: ForestRule) -> DataFrame:
+    """(rep, tree, region, tile, low, high): the regions of all trees, those of more than ``tile`` nodes in pairs of tiles.
+
+    The tile of a node is a hash of it, so no region is ever in one place; two
+    nodes of a region meet in the group (low, high) of their tiles. Only ids are
+    dealt here, signatures are joined to them afterwards.
+    """
     # A hash of the first values of the signature from each tree's own start on, as column expressions.
     value = lambda k: F.substring("signature", 2 * (k % rule.hashes) + 1, 2)
     label = lambda t, depth: F.xxhash64(F.lit(t), *(value(t * rule.deep + k) for k in range(depth)))
@@ -192,24 +185,17 @@ def candidate_clusters(nodes: DataFrame, rule: ForestRule) -> DataFrame:
     region = F.when(F.col("n") > rule.tile, F.col("deep")).otherwise(F.col("shallow"))  # the depth of each region
     leaves = leaves.join(shared, ["tree", "shallow"]).select("rep", "tree", region.alias("region"))
     leaves = staged(leaves, "forest-leaves")  # nodes that are alone in their region are gone
-    rows = spread(leaves.join(nodes, "rep"), "tree", "region").sortWithinPartitions("tree", "region", "rep")
-    found = staged(rows.mapInPandas(_regions(rule), FOUND), "forest-links")
-    tiles = found.filter("region IS NOT NULL")
-    side = lambda s: tiles.select("region", *(F.col(c).alias(f"{c}_{s}") for c in ("tile", "ids", "sizes", "signatures")))
-    pairs = spread(side("a").join(side("b"), "region").filter("tile_a <= tile_b"))
+    tiles = leaves.groupBy("tree", "region").agg(F.count("*").alias("n")).filter("n > 1").select("tree", "region", F.ceil(F.col("n") / rule.tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
+    tiled = leaves.join(tiles, ["tree", "region"]).withColumn("tile", own)
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("low"), F.greatest(k, F.col("tile")).alias("high")))
+    return tiled.select("rep", "tree", "region", "tile", F.explode(pair).alias("pair")).select("rep", "tree", "region", "tile", "pair.*")
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                (ids_a, size_a, sign_a), (ids_b, size_b, sign_b) = (
-                    (np.frombuffer(row[f"ids_{s}"], np.int64), np.frombuffer(row[f"sizes_{s}"], np.int64),
-                     np.frombuffer(row[f"signatures_{s}"], np.uint16).reshape(-1, rule.hashes)) for s in "ab")
-                i, j = _agreeing(sign_a, sign_b, size_a, size_b, rule)
-                node, root = local_roots(ids_a[i], ids_b[j])
-                yield pd.DataFrame({"a": node, "b": root})
-
-    links = found.filter("a IS NOT NULL").select("a", "b").unionByName(pairs.mapInPandas(compare, "a long, b long"))
-    return connected_components(links)
+
+def candidate_clusters(nodes: DataFrame, rule: ForestRule) -> DataFrame:
+    """(node, component): clusters that hold every pair of similar nodes, from (rep, n_shingles, signature)."""
+    rows = spread(dealt_leaves(nodes, rule).join(nodes, "rep"), *GROUP).sortWithinPartitions(*GROUP)
+    return connected_components(rows.mapInPandas(_compared(rule), "a long, b long"))
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:

@@ -80,6 +80,18 @@ def test_near_duplicates_are_those_of_all_pairs(spark, rule):
     assert sorted(map(tuple, got)) == brute_components(texts)
 
 
+def test_large_regions_are_dealt_in_tiles(spark):
+    rule = lsh_forest.ForestRule(trees=2, tile=32)
+    rows = [(i, 50, b"\1\2" * rule.hashes if i < 300 else bytes(2 * rule.hashes - 8) + b"".join(((i * 7 + k) % 65536).to_bytes(2, "big") for k in range(4))) for i in range(320)]
+    dealt = lsh_forest.dealt_leaves(spark.createDataFrame(rows, "rep long, n_shingles long, signature binary"), rule).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.tree, r.region, r.low, r.high), {})[r.rep] = r.tile
+    assert max(map(len, groups.values())) <= 4 * rule.tile
+    met = {(i, j) for key, g in groups.items() for i, x in g.items() for j, y in g.items() if i < j and {x, y} == {key[2], key[3]}}
+    assert {(i, j) for i in range(300) for j in range(i + 1, 300)} <= met
+
+
 def test_word_hashes_tell_words_apart():
     text = " ".join(f"w{i}" for i in range(5000)) + " É É é ab ba\x0bab\x0c"
     words = text.encode().lower().split()
