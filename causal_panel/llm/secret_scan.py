@@ -1,11 +1,13 @@
 """Secret scans: wide candidate patterns, and a random forest that removes false positives.
 
-Candidates are values assigned to a credential name, keys with a known head, and
+Candidates are blocks with a private key, passwords in addresses (user:password@host),
+values assigned to a credential name, keys with a known head, and
 long runs that mix letters and digits or are all digits. Each is described by its length, its
 character classes and their transitions, how far a dictionary of the corpus
 covers it, what path or address it is part of, and the words around it. A forest
 trained on labelled findings tells secrets from ids, digests, paths, addresses
-and numbers.
+and numbers. A key block or a password in an address is a secret by its syntax,
+unless it is a placeholder; such findings do not train the forest.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ HEADS = r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,
 PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "your", "xxxx", "test", "todo", "redacted")
 
 _assigned = re.compile(rf"(?<![A-Za-z])((?:[A-Za-z]+[_-])?(?:{NAMES}))[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}([\"']?)([^\s\"'<>]{{6,}})", re.I)
+_login = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/?#@\"'<>]{0,200}:([^\s/?#\"'<>]{1,200})@(?=[A-Za-z0-9\[])")
+_begin = re.compile(r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+_finish = re.compile(r"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
+_body = re.compile(r"(?:\s+[A-Za-z0-9+/=]{24,})*(?:\s+[A-Za-z0-9+/]+={1,2})?")  # of a block whose end is missing
+_blank = re.compile(r"\$?\{.*\}|\$[A-Z_]+|%\w+%|\[.*\]|\(.*\)|\*+|x+|\.+|your[_-]?\w*|pass|password|passwd|pwd|pw|secret|token|" + "|".join(PLACEHOLDERS), re.I)  # whole values
 _headed = re.compile(rf"(?<![A-Za-z0-9])(?:{HEADS})")
 _run = re.compile(r"[A-Za-z0-9+/_=.@:-]*\d[A-Za-z0-9+/_=.@:-]*")
 _edge = ".,;:!?)(]["
@@ -39,6 +46,8 @@ _neighbour = re.compile(r"[^\W_]+")
 _name = re.compile(rf"(?:{NAMES})", re.I)
 _kinds = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
+PROVED = ("login", "block")  # kinds whose syntax says that they are secrets
+
 FEATURES = (
     "length", "digits", "upper", "other", "transitions", "distinct", "entropy", "hex", "dictionary", "assigned", "quoted", "headed",
     "named_before", "words_before", "slashes", "dots", "address", "mail", "placeholder", "groups",
@@ -64,18 +73,30 @@ def common_words(docs: DataFrame, rule: SecretRule = SecretRule()) -> frozenset[
     return frozenset(r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(rule.dictionary).collect())
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every private key from its BEGIN to its END line, or to the last line of its body."""
+    begun = list(_begin.finditer(text))
+    for m, after in zip(begun, [*(b.start() for b in begun[1:]), len(text)]):
+        end = _finish.search(text, m.end(), after)
+        yield m.start(), end.end() if end else _body.match(text, m.end(), after).end()
+
+
 def candidates_in(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every candidate; where patterns overlap the first kind wins."""
     found: list[tuple[int, int, str]] = []
     if "=" in text or ":" in text:
         found += [(m.start(3), m.start(3) + len(m[3].rstrip(_edge)), "assigned") for m in _assigned.finditer(text) if len(m[3].rstrip(_edge)) >= 6]
+    if "://" in text and "@" in text:
+        found += [(*m.span(1), "login") for m in _login.finditer(text)]
+    if "PRIVATE KEY" in text:
+        found += [(start, end, "block") for start, end in key_blocks(text)]
     found += [(*m.span(), "headed") for m in _headed.finditer(text)]
     for m in _run.finditer(text):
         value = m[0].strip(_edge)
         start = m.start() + m[0].find(value)
         if len(value) >= 12 and (value.isdigit() or any(c.isalpha() for c in value)):
             found.append((start, start + len(value), "run"))
-    rank = {"headed": 0, "assigned": 1, "run": 2}
+    rank = {"block": 0, "login": 1, "headed": 2, "assigned": 3, "run": 4}
     kept: list[tuple[int, int, str]] = []
     taken = bytearray(len(text))
     for start, end, kind in sorted(found, key=lambda x: (rank[x[2]], x[0])):
@@ -111,7 +132,7 @@ def describe(text: str, start: int, end: int, kind: str, dictionary: frozenset[s
         before.rstrip(" \"'").endswith(("=", ":", "=>")), before[-1:] in ("\"", "'") and after[:1] == before[-1:], kind == "headed",
         any(_name.fullmatch(w) for w in near), sum(w.lower() in dictionary for w in near), value.count("/"), value.count("."),
         "://" in joined or "www." in joined, "@" in value or after[:1] == "@" or before[-1:] == "@",
-        any(p in value.lower() for p in PLACEHOLDERS), len(re.split(r"[-_.:/]", value)),
+        bool(_blank.fullmatch(value)) if kind in PROVED else any(p in value.lower() for p in PLACEHOLDERS), len(re.split(r"[-_.:/]", value)),
     )]
 
 
@@ -139,14 +160,15 @@ def reviewed(found: DataFrame) -> DataFrame:
 
     A secret is a key with a known head, or a value of 16 characters and more,
     rich in digits or mixed in case, that stands under a credential's name. No secret is an
-    address, a path, a number, a placeholder or what dictionary words make up. Others stay unlabelled.
+    address, a path, a number, a placeholder or what dictionary words make up. Others stay unlabelled, and so do
+    passwords in addresses and key blocks: the signs of an address say nothing about them.
     """
     f = {name: F.get("features", k) for k, name in enumerate(FEATURES)}
     rich = (f["length"] >= 16) & (f["entropy"] >= 3) & (f["dictionary"] < 0.4) & (f["digits"] < 1)
     secret = ((f["headed"] == 1) | (rich & (f["named_before"] == 1) & (f["assigned"] == 1))) & (f["placeholder"] == 0)
     harmless = (f["mail"] == 1) | (f["address"] == 1) | (f["digits"] == 1) | (f["slashes"] >= 2) | (f["dictionary"] >= 0.6) | (f["placeholder"] == 1)
     label = F.when(secret, 1).when(harmless, 0)
-    return found.select("digest", "features", label.alias("label")).filter("label IS NOT NULL")
+    return found.filter(~F.col("kind").isin(*PROVED)).select("digest", "features", label.alias("label")).filter("label IS NOT NULL")
 
 
 def train_forest(labelled: DataFrame, rule: SecretRule = SecretRule()):
@@ -167,15 +189,18 @@ def findings(docs: DataFrame, rule: SecretRule = SecretRule(), labelled: DataFra
     without it those that ``reviewed`` can label are used. ``start`` and ``end`` count
     characters. A null or empty text has no candidates; repeated rows have theirs each;
     without findings of both labels the forest is left out and a finding scores 1
-    if it stands under a credential's name or has a known head. Values leave as digests only.
+    if it stands under a credential's name or has a known head. A key block scores 1, a password
+    in an address too unless the whole of it is a placeholder, whatever the forest says. Values leave as digests only.
     """
     found = staged(candidates(docs, common_words(docs, rule)), "secret-candidates")
     model = train_forest(labelled if labelled is not None else reviewed(found), rule)
     keep = ["row_key", "doc_id", "start", "end", "kind", "digest"]
+    proved = F.when(F.col("kind").isin(*PROVED), 1 - F.get("features", FEATURES.index("placeholder")))
     if model is None:
-        plain = F.when(F.col("kind") == "run", 0.0).otherwise(1.0)
+        plain = F.coalesce(proved, F.when(F.col("kind") == "run", 0.0).otherwise(1.0))
         return found.select(*keep, plain.alias("score"), (plain >= rule.cut).alias("is_secret"))
-    scored = model.transform(found.withColumn("vector", array_to_vector("features"))).withColumn("score", F.round(F.get(vector_to_array("_share"), 1), 6))
+    scored = model.transform(found.withColumn("vector", array_to_vector("features")))
+    scored = scored.withColumn("score", F.coalesce(proved, F.round(F.get(vector_to_array("_share"), 1), 6)))
     return scored.select(*keep, "score", (F.col("score") >= rule.cut).alias("is_secret"))
 
 

@@ -314,6 +314,26 @@ def test_secrets_are_found_and_redacted(spark):
         assert clean[i] == re.sub(r'(?<=")[0-9a-f]{40}(?=")', "[SECRET]", text)
 
 
+def test_passwords_in_addresses_and_key_blocks_are_redacted(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join("MIIEpAIBAAKCAQEAtestK" + c * 43 for c in "abc") + "\nQq==\n-----END RSA PRIVATE KEY-----"
+    cut = key[:key.index("\n-----END")]
+    marked = [
+        ("see postgres://user:{}", "S3cr3tPass99", "@db.host/app now"), ("amqp://me:{}", "Latest9", "@mq"), ("redis://:{}", "hunter", "@10.0.0.1:6379 is up"), ("a {} b", key, ""), ("{}", cut, "\nand prose goes on"),
+        ("{}", key, "\n" + key.replace("RSA ", "")),
+    ]
+    plain = ["mail bob@mail.org or https://a.org:8080/x@y", "postgres://user:${DB_PASS}@host/db", "mysql://user:password@host/db", "the words PRIVATE KEY alone"]
+    rng = random.Random(4)
+    train = [f'api_token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}" and https://site{i}.org/page/{i}00{i}' for i in range(60)]
+    for more in ([], train):
+        texts = [a.format(value) + b for a, value, b in marked] + plain + more
+        docs = corpus(spark, texts)
+        found = secret_scan.findings(docs)
+        got = [r.text for r in secret_scan.redact(docs, found).orderBy("doc_id").collect()]
+        wanted = [a.format("[SECRET]") + b for a, _, b in marked]
+        wanted[-1] = "[SECRET]\n[SECRET]"
+        assert got[:len(marked) + len(plain)] == wanted + plain
+
+
 def test_forest_learns_from_given_findings(spark):
     docs, _ = secret_table(spark)
     found = secret_scan.candidates(docs, frozenset()).select("digest", "features", (F.get("features", 0) == 16).cast("int").alias("label"))
