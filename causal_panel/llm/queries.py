@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, secret_scan, source_mix, toxicity
+from causal_panel.llm import chat_format, conversation_repair, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, secret_scan, source_mix, toxicity
 from causal_panel.llm.text import table
 
 
@@ -233,6 +233,77 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_branch_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged, and the cheapest repair of each."""
+    original = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_summary(original, conversation_repair.damaged(original))
+
+
+#: At most two Inserts stand next to each other: a third leads where one does.
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)
+), keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+    FROM conversations
+), thrown AS (
+    SELECT * EXCLUDE (key), xor(4294967295, list_reduce(list_concat([4294967295],
+               list_transform(range(1, octet_length(encode(key)) + 1), lambda i: ('0x' || substr(hex(encode(key)), 2 * i - 1, 2))::BIGINT)),
+               lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1]))) % 20 AS die
+    FROM keyed, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN die = 4 THEN 'user' ELSE role END AS role,
+           CASE die WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM thrown, (SELECT unnest([1, 2]) AS copy) WHERE die <> 0 AND (copy = 1 OR die = 3)
+), placed AS (
+    SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM damaged
+), judged AS MATERIALIZED (
+    SELECT conv_id, conv, n, turn, role, text, substr(role, 1, 1) AS initial,
+           CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY n) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+           coalesce(lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY n) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+    FROM placed
+), moves (state, edits, paid, now, lines) AS (
+    VALUES (0, '', 0, 0, CAST([] AS VARCHAR[])), (0, 'I', 3, 2, ['user:']), (0, 'II', 6, 3, ['user:', 'assistant:']),
+           (1, '', 0, 1, []), (1, 'I', 3, 2, ['user:']), (1, 'II', 6, 3, ['user:', 'assistant:']),
+           (2, '', 0, 2, []), (2, 'I', 3, 3, ['assistant:']), (2, 'II', 6, 2, ['assistant:', 'user:']),
+           (3, '', 0, 3, []), (3, 'I', 3, 2, ['user:']), (3, 'II', 6, 3, ['user:', 'assistant:'])
+), walked AS (
+    SELECT DISTINCT conv, CAST(0 AS BIGINT) AS n, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS fixed FROM judged
+    UNION ALL
+    SELECT conv, n, state, cost, audit, fixed FROM (
+        SELECT w.conv, j.n, e.state, w.cost + m.paid + e.paid AS cost, w.audit || m.edits || e.edit AS audit, list_concat(list_concat(w.fixed, m.lines), e.line) AS fixed,
+               row_number() OVER (PARTITION BY w.conv, e.state ORDER BY w.cost + m.paid + e.paid, w.audit || m.edits || e.edit) AS best
+        FROM walked w JOIN judged j ON j.conv = w.conv AND j.n = w.n + 1 JOIN moves m ON m.state = w.state,
+             LATERAL (SELECT unnest([
+                 {'edit': 'D', 'paid': 4, 'state': m.now, 'line': CAST([] AS VARCHAR[]), 'can': true},
+                 {'edit': 'R', 'paid': CASE WHEN j.fault = 'truncated' THEN 6 ELSE 3 END, 'state': CASE WHEN m.now = 2 THEN 3 ELSE 2 END,
+                  'line': [CASE WHEN m.now = 2 THEN 'assistant:' ELSE 'user:' END || j.text], 'can': j.fault IN ('', 'truncated')},
+                 {'edit': 'K', 'paid': CASE WHEN j.fault = 'truncated' THEN 3 ELSE 0 END, 'state': CASE j.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+                  'line': [j.role || ':' || j.text],
+                  'can': j.fault IN ('', 'truncated') AND ((j.initial = 's' AND m.now = 0) OR (j.initial = 'u' AND m.now <> 2) OR (j.initial = 'a' AND m.now = 2))}
+             ], recursive := true))  e(edit, paid, state, line, can)
+        WHERE e.can
+    ) WHERE best = 1
+), ended AS (
+    SELECT w.conv, w.cost + m.paid AS cost, w.audit || m.edits AS audit, list_concat(w.fixed, m.lines) AS fixed,
+           row_number() OVER (PARTITION BY w.conv ORDER BY w.cost + m.paid, w.audit || m.edits) AS best
+    FROM walked w JOIN moves m ON m.state = w.state JOIN (SELECT conv, max(n) AS n FROM judged GROUP BY conv) l ON l.conv = w.conv AND l.n = w.n
+    WHERE m.now IN (0, 3)
+), counted AS (
+    SELECT conv_id, conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+           count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+    FROM judged GROUP BY conv_id, conv
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(e.cost, 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.fixed, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv = c.conv AND e.best = 1
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -252,6 +323,7 @@ QUERIES = {
     "op8_epsilon_grid": op8_epsilon_grid,
     "op9_ngram_ratio": op9_ngram_ratio,
     "op10_source_mix": op10_source_mix,
+    "op11_branch_bound": op11_branch_bound,
 }
 
 ORACLES = {
@@ -260,4 +332,5 @@ ORACLES = {
     "op8_epsilon_grid": OP8_SQL,
     "op9_ngram_ratio": OP9_SQL,
     "op10_source_mix": OP10_SQL,
+    "op11_branch_bound": OP11_SQL,
 }
