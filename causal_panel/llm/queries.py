@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causal_panel.llm import chat_format, conversation_repair, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, secret_scan, source_mix, toxicity
+from causal_panel.llm import chat_format, conversation_repair, epsilon_grid, license_templates, lsh_forest, ngram_ratio, packing, page_text, personal_data, phrase_mining, secret_scan, source_mix, toxicity
 from causal_panel.llm.text import table
 
 
@@ -304,6 +304,96 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.con
 """
 
 
+def op12_toivonen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language of all documents."""
+    return phrase_mining.collocations(phrase_mining.frequent_phrases(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), placed AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size
+), counted AS MATERIALIZED (
+    SELECT lang, size, phrase, count(*) AS f FROM placed GROUP BY lang, size, phrase
+), sizes AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE size = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1 AND f >= 30
+), cuts AS (
+    SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ') JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), lowest AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM scored) WHERE cut = 1
+), subs AS (
+    SELECT lang, a, unnest(flatten(list_transform(range(2, size), lambda m: list_transform(range(1, size - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))))) AS phrase FROM candidates
+), longest AS (
+    SELECT lang, phrase, max(a) AS longer FROM subs GROUP BY lang, phrase
+), ranked AS (
+    SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank
+    FROM lowest l LEFT JOIN longest g ON g.lang = l.lang AND g.phrase = l.phrase
+    WHERE g.longer IS NULL OR 100 * CAST(g.longer AS HUGEINT) < 80 * CAST(l.a AS HUGEINT)
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, s.n, r.score FROM ranked r JOIN sizes s ON s.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
+def op13_span_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and places of the base kinds, and all spans."""
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+    base = found.withColumn("base", F.filter("spans", lambda s: s["base"]))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return base.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(personal_data.listed(F.col("base")), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans")
+    )
+
+
+OP13_SQL = r"""
+WITH patterns (rank, kind, pattern, prior, bonus, context) AS (VALUES
+    (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', 80, 10, 'mail|correo|courriel|contact|kontakt'),
+    (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', 50, 30, '(^|[^a-z])ip([^a-z]|$)|host|server|address|adress|direcci'),
+    (2, 'card', '[0-9]([\x20-]?[0-9])+', 60, 30, 'card|visa|credit|karte|carte|tarjeta'),
+    (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]', 60, 30, 'phone|tel|call|mobil|fax|anruf|llama'),
+    (4, 'iban', '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?', 80, 10, 'iban|account|bank|konto|compte|cuenta'),
+    (5, 'ssn', '[0-9]+(?:-[0-9]+)+', 40, 30, '(^|[^a-z])ssn([^a-z]|$)|social security|tax'),
+    (6, 'tel', '(?:\+[0-9]{1,3}[\x20.-]?)?\([2-9][0-9]{2}\)[\x20.-]?[2-9][0-9]{2}[\x20.-][0-9]{4}', 60, 30, 'phone|tel|call|mobil|fax|anruf|llama'),
+    (7, 'birth', '[0-9]+(?:-[0-9]+)+', 30, 30, '(^|[^a-z])born([^a-z]|$)|birth|(^|[^a-z])dob([^a-z]|$)|geboren|geburt|naissance|nacid|nacimiento')
+), texts AS (
+    SELECT row_number() OVER () AS row_key, doc_id, coalesce(text, '') AS text FROM documents
+), matched AS (
+    SELECT row_key, rank, kind, prior, bonus, context, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps
+    FROM texts, patterns WHERE regexp_matches(text, pattern)
+), placed AS (
+    SELECT row_key, rank, kind, prior, bonus, context, unnest(range(1, len(found) + 1)) AS k, unnest(found) AS v, unnest(gaps[:-2]) AS gap, unnest(gaps[2:]) AS next_gap FROM matched
+), spans AS (
+    SELECT *, sum(length(gap) + length(v)) OVER (PARTITION BY row_key, kind ORDER BY k) AS stop, regexp_replace(v, '[^0-9]', '', 'g') AS digits, replace(v, ' ', '') AS bare,
+           prior + CASE WHEN regexp_matches(lower(right(gap, 40) || ' ' || left(next_gap, 20)), context) THEN bonus ELSE 0 END AS score
+    FROM placed
+), confirmed AS (
+    SELECT *, kind || ':' || (stop - length(v)) || ':' || stop AS span FROM spans
+    WHERE (rank < 4 OR score >= 60) AND CASE kind
+        WHEN 'email' THEN true
+        WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: TRY_CAST(ltrim(p, '0') AS HUGEINT) > 255 OR length(ltrim(p, '0')) > 3)) = 0
+        WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i:
+            CASE WHEN (length(digits) - 1 - i) % 2 = 0 THEN CAST(digits[i + 1] AS INTEGER) WHEN CAST(digits[i + 1] AS INTEGER) > 4 THEN 2 * CAST(digits[i + 1] AS INTEGER) - 9
+                 ELSE 2 * CAST(digits[i + 1] AS INTEGER) END)) % 10 = 0
+        WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+        WHEN 'iban' THEN length(bare) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform(range(1, length(bare) + 1), lambda i: ascii((bare[5:] || bare[:4])[i]))),
+            lambda r, c: CASE WHEN c < 58 THEN r * 10 + c - 48 ELSE r * 100 + c - 55 END % 97) = 1
+        WHEN 'ssn' THEN regexp_full_match(v, '[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(v, '^(000|666)|-00-|-0000')
+        WHEN 'tel' THEN NOT starts_with(v, '+')
+        ELSE regexp_full_match(v, '(19|20)[0-9]{2}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])') END
+)
+SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(span, ',' ORDER BY rank, stop) FILTER (rank < 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY rank, stop), '') AS spans
+FROM texts t LEFT JOIN confirmed c USING (row_key) GROUP BY t.row_key, t.doc_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -324,6 +414,8 @@ QUERIES = {
     "op9_ngram_ratio": op9_ngram_ratio,
     "op10_source_mix": op10_source_mix,
     "op11_branch_bound": op11_branch_bound,
+    "op12_toivonen": op12_toivonen,
+    "op13_span_scores": op13_span_scores,
 }
 
 ORACLES = {
@@ -333,4 +425,6 @@ ORACLES = {
     "op9_ngram_ratio": OP9_SQL,
     "op10_source_mix": OP10_SQL,
     "op11_branch_bound": OP11_SQL,
+    "op12_toivonen": OP12_SQL,
+    "op13_span_scores": OP13_SQL,
 }
