@@ -23,6 +23,7 @@ import bisect
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,62 +49,67 @@ class PackRule:
 
 
 class WordTokenizer:
-    """Token ids of texts by a tokenizer that never joins across ASCII white space, through a cache of words.
+    """Token ids of texts by a tokenizer that never joins across ASCII white space, through a bounded cache of word cores.
 
-    Words that are letters and then punctuation are two pre-tokens, so many are
-    encoded in one call: in this vocabulary the last token of a pre-token, and
-    no other, ends in ``</w>``. Anything else is encoded on its own.
+    A word that is letters and then punctuation is two pre-tokens, each encoded
+    by the model alone; the parts are joined when a text is put together, so the
+    cache holds cores, not every form of them. Anything else is encoded as it is.
+    The cache has two generations: what is used moves to the younger one, and
+    when that is full it becomes the older one, whose place it takes.
     """
 
-    LIMIT = 1_000_000  # words; then the cache starts afresh
+    LIMIT = 150_000  # cores in a generation, but for those of one batch
+    BATCH = 2_000_000  # characters whose words are put together at a time
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 64, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # How the model spells each letter below U+0130, upper case as lower case.
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c).lower())[0][0] for c in range(0x130) if chr(c).isalpha()}
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of every text."""
-        split = [_ascii_words(t) if _other_gaps(t) else t.split() for t in texts]
-        if len(self.cache) > self.LIMIT:
-            self.cache.clear()
-        self._learn(set().union(*split))
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
-
-    def _learn(self, words: set[str]) -> None:
-        cache = self.cache
-        cache[""] = b""  # the tail of a word without punctuation
-        parts, alone = [], []
-        for word in words:
-            if word in cache:
-                continue
-            core = word.rstrip(self.PUNCTUATION)
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < self.BATCH:
+                some.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            split = [_ascii_words(t) if _other_gaps(t) else t.split() for t in some]
+            forms = self._forms(list(set().union(*split)))
+            for words in split:
+                yield b"".join(map(forms.__getitem__, words))
+
+    def _forms(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of every word."""
+        if len(self.young) > self.LIMIT:
+            self.old, self.young = self.young, {}
+        young, old, marks = self.young, self.old, self.PUNCTUATION
+        cores = [word.rstrip(marks) for word in words]
+        for core in {c for c, ids in zip(cores, map(young.get, cores)) if ids is None}:
+            ids = old.get(core)
             # Up to U+012F every letter is lowered alike by Python and by the tokenizer.
-            if core.isalpha() and max(core) < "İ":
-                parts.append((word, core.lower(), word[len(core):]))
-            else:
-                alone.append(word)
-        single = list({p for _, core, tail in parts for p in (core, tail) if p not in cache})
-        for at in range(0, len(single), 4000):
-            some = single[at:at + 4000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(some):
-                raise ValueError("the tokenizer does not mark the ends of words")
-            raw, begin = ids.tobytes(), 0
-            for part, cut in zip(some, cuts.tolist()):
-                cache[part] = raw[begin:cut]
-                begin = cut
-        for word, core, tail in parts:
-            cache[word] = cache[core] + cache[tail]
-        for word, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            cache[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+            if ids is None and core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                ids = array("I", [t.id for t in self.model.tokenize(core.translate(self.spelling))]).tobytes()
+            if ids is not None:
+                young[core] = ids
+        forms = dict(zip(words, map(young.get, cores)))
+        tailed = [(word, core) for word, core in zip(words, cores) if word is not core and core in young]
+        tails = {word[len(core):] for word, core in tailed}
+        whole = list(tails.union(word for word, ids in forms.items() if ids is None))
+        found = dict(zip(whole, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]))
+        forms.update((word, young[core] + found[word[len(core):]]) for word, core in tailed)
+        forms.update((word, ids) for word, ids in found.items() if forms.get(word, b"") is None)
+        return forms
 
 
 #: White space that str.split knows besides ASCII white space; a text with any of it is split by a pattern.
@@ -126,17 +132,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
         tokenizer, end, step = _tokenizers[tokenizer_path], np.uint32(rule.end_id).tobytes(), 4 * rule.capacity
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for frame in frames:
-            for at in range(0, len(frame), 200):
-                part, rows = frame.iloc[at:at + 200], []
-                for doc, raw in zip(part["doc_id"], tokenizer.encode([t or "" for t in part["text"]])):
-                    raw += end
-                    for k in range(0, len(raw), step):
-                        piece = raw[k:k + step]
-                        ids = (np.frombuffer(piece, dtype="<u4").astype(np.int32),) if with_ids else ()
-                        rows.append((doc, k // step, k // 4, len(piece) // 4, zlib.crc32(piece), *ids))
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-                yield pd.DataFrame(rows, columns=names)
+            rows = []
+            for doc, raw in zip(frame["doc_id"], tokenizer.encode([t or "" for t in frame["text"]])):
+                raw += end
+                for k in range(0, len(raw), step):
+                    piece = raw[k:k + step]
+                    ids = (np.frombuffer(piece, dtype="<u4").astype(np.int32),) if with_ids else ()
+                    rows.append((doc, k // step, k // 4, len(piece) // 4, zlib.crc32(piece), *ids))
+                if len(rows) >= 2000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     pieces = docs.select(as_text("doc_id"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -18,6 +18,7 @@ The border is never listed; only phrases that occur are met and counted.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,12 @@ class Proposed:
         self.bits = bits
         self.bitmap = np.zeros(1 << (bits - 3), np.uint8) if bitmap is None else bitmap
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.bits, zlib.compress(self.bitmap.tobytes(), 1)  # what is sent grows with the phrases, up to the bitmap's size
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.bits, self.bitmap = state[0], np.frombuffer(zlib.decompress(state[1]), np.uint8)
+
     def places(self, hashes: np.ndarray) -> np.ndarray:
         return (_mix(hashes) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -180,13 +188,11 @@ class _Chunk:
         return [b" ".join([words[i] for i in phrase]) for phrase in zip(*columns)], n
 
 
-def count_phrases(docs: DataFrame, before: Proposed | None, proposed: Proposed, longest: int) -> DataFrame:
-    """(lang, phrase, n): exact counts over ``docs`` (lang, text) of what ``proposed`` adds to what ``before`` had counted."""
-    context = docs.sparkSession.sparkContext
-    sets = context.broadcast((before, proposed))  # two bitmaps of fixed size
+def count_phrases(docs: DataFrame, old: Broadcast | None, new: Broadcast, longest: int) -> DataFrame:
+    """(lang, phrase, n): exact counts over ``docs`` (lang, text) of what the set ``new`` adds to what ``old`` had counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, proposed = sets.value
+        before, proposed = old.value if old else None, new.value
 
         def flush(lang: str, chunk: _Chunk) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
@@ -223,20 +229,23 @@ def mine(docs: DataFrame, support: int, proposed: Proposed, longest: int, gate:
     Passes go on until none finds a frequent phrase of fewer than ``longest``
     words that is not proposed; phrases of fewer than ``gate`` words are.
     """
-    found, before = None, None
+    share = docs.sparkSession.sparkContext.broadcast  # bitmaps, once each
+    found, old, new = None, None, share(proposed)
     while True:
         # Frequent phrases only; their number grows with the corpus, and stays in a table.
-        counts = staged(count_phrases(docs, before, proposed, longest).where((F.col("n") >= support) | (F.col("phrase") == "")), "phrases")
+        counts = staged(count_phrases(docs, old, new, longest).where((F.col("n") >= support) | (F.col("phrase") == "")), "phrases")
         found = counts if found is None else found.unionByName(counts)
-        news = staged(_not_held(counts.where((F.col("phrase") != "") & (n_words() < gate)), proposed), "proposed")
-        before, proposed = proposed, proposed.with_phrases(news)
+        news = staged(_not_held(counts.where((F.col("phrase") != "") & (n_words() < gate)), new), "proposed")
+        proposed = proposed.with_phrases(news)
+        if old is not None:
+            old.destroy()  # no later table reads it: counts and news are written
         if news.where(n_words() < longest).isEmpty():
+            new.destroy()
             return found, proposed
+        old, new = new, share(proposed)
 
 
-def _not_held(phrases: DataFrame, proposed: Proposed) -> DataFrame:
-    shared = phrases.sparkSession.sparkContext.broadcast(proposed)
-
+def _not_held(phrases: DataFrame, shared: Broadcast) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = shared.value.bitmap
         for frame in frames:
