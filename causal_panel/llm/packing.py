@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -48,17 +47,49 @@ class PackRule:
     end_id: int = 0
 
 
+_chance = np.random.default_rng(6)
+_letters, _places = (_chance.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_gap = np.zeros(256, dtype=bool)
+_gap[[9, 10, 11, 12, 13, 32]] = True
+
+
+def distinct_words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space, which of them stands at each place, and where in ``data`` each place is.
+
+    Words are grouped by a hash and then compared with the first of their group
+    byte by byte; should a group hold two, which is next to impossible, words are
+    grouped one by one instead.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    solid = ~_gap[raw]
+    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    letters, offsets = raw[solid], np.cumsum(sizes) - sizes
+    if not len(starts):
+        return [], starts, starts
+    place = np.arange(len(letters)) - np.repeat(offsets, sizes)
+    hashes = np.add.reduceat(_letters[letters] * _places[place & 255], offsets)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    alike = first[which]
+    if (sizes == sizes[alike]).all() and (letters == letters[np.repeat(offsets[alike], sizes) + place]).all():
+        return [data[s:s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist())], which, starts
+    index: dict[bytes, int] = {}
+    which = np.array([index.setdefault(word, len(index)) for word in data.split()])
+    return list(index), which, starts
+
+
 class WordTokenizer:
     """Token ids of texts by a tokenizer that never joins across ASCII white space, through a bounded cache of word cores.
 
-    A word that is letters and then punctuation is two pre-tokens, each encoded
-    by the model alone; the parts are joined when a text is put together, so the
-    cache holds cores, not every form of them. Anything else is encoded as it is.
-    The cache has two generations: what is used moves to the younger one, and
-    when that is full it becomes the older one, whose place it takes.
+    The distinct words of a batch of texts are encoded and put in their places
+    as arrays. A word that is letters and then punctuation is two pre-tokens,
+    each encoded by the model alone, so the cache holds cores and not every form
+    of them. Anything else is encoded as it is. The cache has two generations:
+    what is used moves to the younger one, and when that is full it becomes the
+    older one, whose place it takes.
     """
 
-    LIMIT = 150_000  # cores in a generation, but for those of one batch
+    LIMIT = 100_000  # cores in a generation, but for those of one batch
     BATCH = 2_000_000  # characters whose words are put together at a time
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
@@ -81,15 +112,22 @@ class WordTokenizer:
         while at < len(texts):
             some, size = [], 0
             while at < len(texts) and size < self.BATCH:
-                some.append(texts[at])
-                size += len(texts[at])
+                some.append(texts[at].encode("utf-8", "surrogatepass"))
+                size += len(some[-1]) + 1
                 at += 1
-            split = [_ascii_words(t) if _other_gaps(t) else t.split() for t in some]
-            forms = self._forms(list(set().union(*split)))
-            for words in split:
-                yield b"".join(map(forms.__getitem__, words))
-
-    def _forms(self, words: list[str]) -> dict[str, bytes]:
+            words, which, starts = distinct_words(b" ".join(some))
+            encoded = self._encoded([w.decode("utf-8", "surrogatepass") for w in words])
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            sizes = np.array([len(e) // 4 for e in encoded], np.int64)
+            counts = sizes[which]
+            ends = np.cumsum(counts)
+            ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts) + np.arange(counts.sum())]
+            bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in some]))  # the first word of each text
+            cuts = np.concatenate([[0], ends])[bounds].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                yield ids[a:b].tobytes()
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of every word."""
         if len(self.young) > self.LIMIT:
             self.old, self.young = self.young, {}
@@ -102,19 +140,16 @@ class WordTokenizer:
                 ids = array("I", [t.id for t in self.model.tokenize(core.translate(self.spelling))]).tobytes()
             if ids is not None:
                 young[core] = ids
-        forms = dict(zip(words, map(young.get, cores)))
-        tailed = [(word, core) for word, core in zip(words, cores) if word is not core and core in young]
-        tails = {word[len(core):] for word, core in tailed}
-        whole = list(tails.union(word for word, ids in forms.items() if ids is None))
-        found = dict(zip(whole, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]))
-        forms.update((word, young[core] + found[word[len(core):]]) for word, core in tailed)
-        forms.update((word, ids) for word, ids in found.items() if forms.get(word, b"") is None)
-        return forms
-
-
-#: White space that str.split knows besides ASCII white space; a text with any of it is split by a pattern.
-_other_gaps = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
-_ascii_words = re.compile(r"[^ \t-\r]+").findall
+        encoded = list(map(young.get, cores))
+        # What is not a core alone: tails are encoded apart, other words whole.
+        rest = [(k, words[k][len(core):] if encoded[k] else words[k]) for k, core in enumerate(cores) if core is not words[k] or not encoded[k]]
+        parts = list({part for _, part in rest})
+        found = {p: array("I", e.ids).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
+        for k, part in rest:
+            encoded[k] = (encoded[k] or b"") + found[part]
+        return encoded
+
+
 _tokenizers: dict[str, WordTokenizer] = {}  # one per worker process
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
