@@ -1,18 +1,11 @@
 """Order-based arithmetic without a global sort into one task.
 
 Rank statistics, quantiles, threshold sweeps and ROC curves all need, for each
-distinct value, the totals of everything below it. ``prefix_totals`` computes
-that in two levels:
-
-1. rows collapse to one row per distinct value (combined before the shuffle, so
-   a value shared by a third of the rows is one row);
-2. distinct values fall into buckets bounded by approximate quantiles. A window
-   runs inside each bucket, and the bucket's own totals are shifted by those of
-   the buckets below.
-
-Equal values share a bucket whatever the bounds are, so results are exact and do
-not depend on partitioning; the approximation only balances the buckets.
-``groups`` are columns with few distinct values (feature names, model x split).
+distinct value, the totals of everything below it. ``prefix_totals`` collapses
+rows to one row per distinct value (combined before the shuffle, so a value
+shared by a third of the rows is one row) and scans them by ranges of values
+(``scan.range_scan``). Results are exact and do not depend on where ranges end.
+``groups`` may be any columns (feature names, model x split).
 """
 
 from __future__ import annotations
@@ -22,9 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import staged
+from .scan import match, range_scan
 
-LEVELS = 8
-BUCKETS = 1 << LEVELS
 _ALL = "_all_rows"
 
 
@@ -33,21 +25,6 @@ def _keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(groups)) if groups else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
-def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys among which NULL is a value like any other; the keys of ``left`` are kept."""
-    other = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
-    return left.join(other, same, how).drop(*[f"_other_{k}" for k in keys])
-
-
-def _bucket(value: Column, bounds: Column) -> Column:
-    """Number of bounds at or below the value, halving the array each step."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(LEVELS))])
-    return F.aggregate(
-        steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= value, at + step).otherwise(at)
-    )
-
-
 def distinct_totals(df: DataFrame, value: str, sums: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
     """One row per distinct non-missing value with the sums of its rows."""
     return (
@@ -57,57 +34,14 @@ def distinct_totals(df: DataFrame, value: str, sums: dict[str, Column], groups:
     )
 
 
-def prefix_totals(
-    df: DataFrame,
-    value: str,
-    sums: dict[str, Column],
-    groups: Sequence[str] = (),
-    keep_bucket: bool = False,
-) -> DataFrame:
+def prefix_totals(df: DataFrame, value: str, sums: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: each sum ``s``, plus ``s_below`` (smaller values) and ``s_all``."""
-    df, keys = _keys(df, groups)
-    totals = distinct_totals(df, value, sums, keys)
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    # Naming every sum here keeps this branch's columns equal to the others', so
-    # Spark shuffles the distinct values once and reuses that exchange.
-    present = F.coalesce(*[F.col(n).cast("double") for n in sums]).isNotNull()
-    bounds = totals.groupBy(*keys).agg(
-        F.percentile_approx(
-            F.when(present, F.col(value)), F.array(*[F.lit(c) for c in cuts]), F.lit(10 * BUCKETS)
-        ).alias("_bounds")
-    )
-    # One array of fixed length per group.
-    placed = match(totals, F.broadcast(bounds), keys).withColumn("_bucket", _bucket(F.col(value), F.col("_bounds"))).drop("_bounds")
-    # One exchange serves both the windows and the bucket totals below.
-    placed = placed.repartition(*keys, "_bucket")
-
-    lower = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = (
-        placed.groupBy(*keys, "_bucket")
-        .agg(*[F.sum(n).alias(n) for n in sums], F.max(value).alias("_top"))
-        .where(F.col("_top").isNotNull())
-        .select(
-            *keys,
-            "_bucket",
-            *[F.sum(n).over(lower).alias(f"_{n}_off") for n in sums],
-            *[F.sum(n).over(whole).alias(f"{n}_all") for n in sums],
-        )
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.select("*", *[F.sum(n).over(inside).alias(f"_{n}_in") for n in sums])
-    # At most BUCKETS rows per group.
-    joined = match(ranked, F.broadcast(offsets), [*keys, "_bucket"])
-    below = {}
-    for n in sums:
-        zero = F.lit(0).cast(joined.schema[n].dataType)
-        below[f"{n}_below"] = F.coalesce(f"_{n}_off", zero) + F.coalesce(f"_{n}_in", zero)
+    totals = distinct_totals(df, value, sums, groups)
+    scanned = range_scan(totals, [value], {f"{n}_below": ("sum", n) for n in sums}, by=groups, totals=True)
     columns = [*[F.col(k) for k in groups], F.col(value)]
     for n in sums:
-        columns += [F.col(n), below[f"{n}_below"].alias(f"{n}_below"), F.col(f"{n}_all")]
-    if keep_bucket:
-        columns.append(F.col("_bucket"))
-    return joined.select(*columns)
+        columns += [F.col(n), F.col(f"{n}_below"), F.col(f"{n}_below_all").alias(f"{n}_all")]
+    return scanned.select(*columns)
 
 
 def row_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.clinical import build_clinical
 from ..functions.scalar import earliest, finite_or_null, latest, total
 from ..session import split_generated_code
 from ..spec import PanelSpec
+from .scan import range_scan
 from .timeline import CHUNK_ROWS, Layout, index_rows, lay_out
 
 BLOCKS = ("locf", "recency", "intensity", "deviation", "rolling", "missing", "clinical")
@@ -393,8 +394,9 @@ def bidirectional_fill(panel: DataFrame, spec: PanelSpec, longest: int | None =
 
 
 def running_best(trials: DataFrame, order: str, value: str, name: str = "best_so_far", by: str | None = None) -> DataFrame:
-    """Best value up to and including each trial of a (small) trial table."""
-    from pyspark.sql import Window
+    """Best value up to and including each trial, of all trials or of each group's, however many there are.
 
-    w = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(order)
-    return trials.withColumn(name, F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    Trials are ranked by ``order``, which should tell them apart; a missing value
+    is no trial, and the best before the first is missing.
+    """
+    return range_scan(trials, [order], {name: ("max", value)}, by=[by] if by else [], inclusive=True)

@@ -291,14 +291,71 @@ def met_lead_time_histogram(spark, sf):
     return alerts.lead_time_histogram(timing(spark, sf), groups=["model"])
 
 
-@query("met_bootstrap_auroc")
+_WRAP, _GOLDEN = "18446744073709551616::UHUGEINT", "11400714819323198485::UHUGEINT"
+
+
+def _mixed(name: str, start: str, number: str) -> str:
+    """``name``: the 64-bit hash of a start and a number, as columns of one SELECT."""
+    wide = lambda x, shift, factor: f"CAST(CAST(xor({x}, {x} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT % {_WRAP} AS UBIGINT)"
+    return f"""CAST((CAST({start} AS UHUGEINT) + CAST({number} + 1 AS UHUGEINT) * {_GOLDEN}) % {_WRAP} AS UBIGINT) AS {name}_0,
+      {wide(f'{name}_0', 30, '13787848793156543929')} AS {name}_1, {wide(f'{name}_1', 27, '10723151780598845931')} AS {name}_2, xor({name}_2, {name}_2 >> 31) AS {name}"""
+
+
+#: How often each of 400 replicates draws each entity, with the library's hashes.
+DRAWN_SQL = f"""known AS (SELECT DISTINCT model, CAST(entity AS VARCHAR) AS entity FROM scores WHERE score IS NOT NULL AND y IS NOT NULL),
+ranked AS (SELECT model, entity, row_number() OVER (PARTITION BY model ORDER BY md5(entity || ':0'), entity) - 1 AS rank, count(*) OVER (PARTITION BY model) AS n FROM known),
+begun AS (SELECT model, n, b, {_mixed('s', '0', 'b')} FROM (SELECT DISTINCT model, n FROM ranked), range(400) t(b)),
+over_buckets AS (SELECT model, n, b, s, {_mixed('t', 's', '0')} FROM begun),
+fell AS (SELECT model, n, b, s, CAST(v % CAST(n AS UBIGINT) AS BIGINT) // 1024 AS bucket, count(*) AS m
+  FROM (SELECT model, n, b, s, {_mixed('v', 't', 'i')} FROM (SELECT model, n, b, s, t, unnest(range(n)) AS i FROM over_buckets)) GROUP BY ALL),
+nodes AS (SELECT *, {_mixed('t', 's', '(bucket + 1)')}, least(1024, n - bucket * 1024) AS size FROM fell),
+drawn AS (SELECT model, b, bucket * 1024 + CAST(v % CAST(size AS UBIGINT) AS BIGINT) AS rank, count(*) AS times
+  FROM (SELECT model, b, bucket, size, {_mixed('v', 't', 'j')} FROM (SELECT model, b, bucket, size, t, unnest(range(m)) AS j FROM nodes)) GROUP BY ALL),
+weighed AS (SELECT r.model, d.b, r.entity, d.times FROM drawn d JOIN ranked r USING (model, rank)),
+counted AS (SELECT model, CAST(entity AS VARCHAR) AS entity, score, y, count(*) AS k FROM scores WHERE score IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+by_score AS (SELECT c.model, w.b, c.score, sum(c.k * w.times * c.y) AS pos, sum(c.k * w.times * (1 - c.y)) AS neg
+  FROM counted c JOIN weighed w USING (model, entity) GROUP BY ALL)"""
+_REPLICATE_SQL = {
+    "auroc": """SELECT model, b, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg / 2.0::DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS value
+      FROM (SELECT *, sum(neg) OVER (PARTITION BY model, b ORDER BY score) - neg AS below FROM by_score) GROUP BY model, b""",
+    "auprc": """SELECT model, b, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * CASE WHEN up > 0 THEN hits / up ELSE 0 END) / CAST(sum(pos) AS DOUBLE) END AS value
+      FROM (SELECT *, CAST(sum(pos) OVER w AS DOUBLE) AS hits, CAST(sum(pos + neg) OVER w AS DOUBLE) AS up FROM by_score WINDOW w AS (PARTITION BY model, b ORDER BY score DESC)) GROUP BY model, b""",
+}
+_POINT_SQL = {
+    "auroc": "sum(pos * (below + neg / 2.0::DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))",
+    "auprc": "sum(pos * CAST(all_pos - hits_below AS DOUBLE) / (all_n - n_below)) / CAST(sum(pos) AS DOUBLE)",
+}
+
+
+def _interval_sql(metric: str) -> str:
+    return f"""WITH {SCORES_SQL}, {DRAWN_SQL}, replicates AS ({_REPLICATE_SQL[metric]}),
+      singles AS (SELECT model, score, sum(k * y) AS pos, sum(k * (1 - y)) AS neg FROM counted GROUP BY ALL),
+      placed AS (SELECT *, sum(neg) OVER w - neg AS below, sum(pos) OVER w - pos AS hits_below, sum(pos + neg) OVER w - pos - neg AS n_below,
+        sum(pos) OVER (PARTITION BY model) AS all_pos, sum(pos + neg) OVER (PARTITION BY model) AS all_n FROM singles WINDOW w AS (PARTITION BY model ORDER BY score)),
+      points AS (SELECT model, {_POINT_SQL[metric]} AS point FROM placed GROUP BY model)
+      SELECT model, {s6('point')} AS point, {s6('quantile_cont(value, 0.025)')} AS ci_low, {s6('quantile_cont(value, 0.975)')} AS ci_high, count(value) AS replicates
+      FROM replicates JOIN points USING (model) GROUP BY model, point"""
+
+
+def _bootstrapped(spark, sf, metric):
+    found = bootstrap.cluster_bootstrap_ci(long_scores(spark, sf), metric=metric, groups=["model"])
+    return found.select("model", *[r6(F.col(c)).alias(c) for c in ("point", "ci_low", "ci_high")], "replicates")
+
+
+@query("met_bootstrap_auroc", _interval_sql("auroc"))
 def met_bootstrap_auroc(spark, sf):
-    return bootstrap.cluster_bootstrap_ci(wide_scores(spark, sf), score="a", metric="auroc")
+    return _bootstrapped(spark, sf, "auroc")
 
 
-@query("met_bootstrap_auprc")
+@query("met_bootstrap_auprc", _interval_sql("auprc"))
 def met_bootstrap_auprc(spark, sf):
-    return bootstrap.cluster_bootstrap_ci(wide_scores(spark, sf), score="a", metric="auprc")
+    return _bootstrapped(spark, sf, "auprc")
+
+
+@query("met_bootstrap_replicates", f"WITH {SCORES_SQL}, {DRAWN_SQL}, replicates AS ({_REPLICATE_SQL['auroc']}) SELECT model, CAST(b AS INTEGER) AS b, {s6('value')} AS value FROM replicates")
+def met_bootstrap_replicates(spark, sf):
+    """Every replicate's AUROC of every model."""
+    return bootstrap.replicates(long_scores(spark, sf), groups=["model"]).select("model", F.col("b").cast("int").alias("b"), r6(F.col("value")).alias("value"))
 
 
 # --- blending ---------------------------------------------------------------------------

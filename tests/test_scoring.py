@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from panels import cohort
@@ -77,22 +79,54 @@ def test_bootstrap_brackets_the_point_and_repeats(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.round(0.4 * F.col("y") + 0.8 * F.col("score"), 2))
     for metric in ("auroc", "auprc"):
         a = bootstrap.cluster_bootstrap_ci(df, metric=metric, n_boot=60, seed=3).first()
-        b = bootstrap.cluster_bootstrap_ci(df.repartition(7), metric=metric, n_boot=60, seed=3, buckets=4).first()
+        b = bootstrap.cluster_bootstrap_ci(df.repartition(7), metric=metric, n_boot=60, seed=3).first()
         assert a["ci_low"] < a["point"] < a["ci_high"] and a["replicates"] == 60
         assert a["ci_low"] == pytest.approx(b["ci_low"], abs=1e-9) and a["ci_high"] == pytest.approx(b["ci_high"], abs=1e-9)
 
 
+def drawn_by_hand(entities, b, seed):
+    """How often replicate ``b`` draws each entity: bucket by bucket, from the hashes alone."""
+    ranked = sorted(entities, key=lambda e: (hashlib.md5(f"{e}:{seed}".encode()).hexdigest(), e))
+    times = dict.fromkeys(entities, 0)
+    fell = bootstrap.draws(seed, b, 0, 0, len(ranked), len(ranked)) // bootstrap.BUCKET
+    for k in range(-(-len(ranked) // bootstrap.BUCKET)):
+        inside = ranked[k * bootstrap.BUCKET:(k + 1) * bootstrap.BUCKET]
+        for slot in bootstrap.draws(seed, b, k + 1, 0, int((fell == k).sum()), len(inside)):
+            times[inside[slot]] += 1
+    return times
+
+
+def test_bootstrap_draws_n_of_n_entities(spark):
+    groups = {"x": [f"e{k}" for k in range(2500)], None: [f"e{k}" for k in range(700)], "y": ["only"]}
+    rows = spark.createDataFrame([(g, e, 0.5) for g, es in groups.items() for e in es for _ in range(2)], "model string, entity string, score double")
+    drawn = {}
+    for r in bootstrap.entity_draws(rows, "entity", 40, 9, ["model"]).collect():
+        drawn.setdefault(r.model, {})[r._entity] = np.frombuffer(r.times, "u1")
+    for g, es in groups.items():
+        total = sum(drawn[g].values())
+        assert sorted(drawn[g]) == sorted(es) and (total == len(es)).all()
+        for b in (0, 17, 39):
+            assert {e: int(t[b]) for e, t in drawn[g].items()} == drawn_by_hand(es, b, 9)
+    many = np.concatenate([t for t in drawn["x"].values()])
+    assert abs((many == 0).mean() - np.exp(-1)) < 0.01 and abs(many.var() - 1) < 0.03  # binomial(n, 1/n)
+
+
 def test_bootstrap_replicate_by_hand(spark, rows):
-    """One replicate equals the statistic of the rows repeated by their multiplicity."""
-    df = spark.createDataFrame(rows, SCHEMA)
-    hashes = {r["entity"]: r["h"] for r in df.select("entity", F.xxhash64("entity", F.lit(5)).alias("h")).distinct().collect()}
-    w = {e: bootstrap.multiplicities(np.array([h]), np.arange(3))[0] for e, h in hashes.items()}
-    got = {r["b"]: r["value"] for r in bootstrap.replicate_auroc(df, "entity", "score", "y", 3, 5, buckets=8).collect()}
-    for b in range(3):
-        k = np.array([w[r[0]][b] for r in rows])
-        y, s = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    """One replicate equals the statistic of the rows repeated as often as their entity is drawn, whatever the ranges."""
+    half = [(e, h, y, round(s, 1)) for e, h, y, s in rows]
+    df = spark.createDataFrame([("raw", *r) for r in rows] + [("ties", *r) for r in half] + [("blank", *r[:3], None) for r in rows], "model string, " + SCHEMA)
+    found = {m: {(r["model"], r["b"]): r["value"] for r in bootstrap.replicates(df.repartition(5), metric=m, n_boot=3, seed=5, groups=["model"]).collect()} for m in ("auroc", "auprc")}
+    assert {k for k in found["auroc"]} == {(m, b) for m in ("raw", "ties") for b in range(3)} == set(found["auprc"])
+    for model, mine in (("raw", rows), ("ties", half)):
+        y, s = np.array([r[2] for r in mine]), np.array([r[3] for r in mine])
         pairs = (s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])
-        assert got[b] == pytest.approx((k[y == 1][:, None] * pairs * k[y == 0]).sum() / (k[y == 1].sum() * k[y == 0].sum()), abs=1e-9)
+        for b in range(3):
+            times = drawn_by_hand({r[0] for r in mine}, b, 5)
+            k = np.array([times[r[0]] for r in mine])
+            assert found["auroc"][model, b] == pytest.approx((k[y == 1][:, None] * pairs * k[y == 0]).sum() / (k[y == 1].sum() * k[y == 0].sum()), abs=1e-9)
+            above = s[:, None] <= s  # rows at or above each row's score
+            precision = (above * (k * y)).sum(axis=1) / np.maximum((above * k).sum(axis=1), 1)
+            assert found["auprc"][model, b] == pytest.approx((k * y * precision).sum() / (k * y).sum(), abs=1e-9)
 
 
 def test_alert_timing_known_answer(spark):
