@@ -80,14 +80,24 @@ def test_the_border_closes_from_any_proposal(spark):
     """What a set proposes, too little or too much, decides the passes and not the phrases."""
     rows = drawn(random.Random(4), 120)
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text")
-    expected = sorted((*k, n) for k, n in brute_counts(rows).items() if n >= 6 or k[1] == "")
+    expected = {k for k, n in brute_counts(rows).items() if n >= 6 and k[1]}
     empty = mining.Proposed(16)
-    wild = empty.with_phrases(spark.createDataFrame([("en", "w1 w2"), ("en", "nothing here"), ("de", "a")], "lang string, phrase string"))
-    assert wild.holds(wild.places(mining.np.zeros(1, "u8")).astype("u8")).dtype == bool
+    hashes = [int(mining.phrase_hash(*x)[0].view("i8")) for x in (("en", "w1 w2"), ("en", "nothing here"), ("de", "a"))]
+    wild = empty.with_hashes(spark.createDataFrame([(h,) for h in hashes], "h long"))
+    assert wild.holds(mining.phrase_hash("en", "w1 w2")).all() and wild.bitmap.sum() and not empty.bitmap.any()
     for proposed in (empty, wild, mining.Proposed(16, mining.np.full(1 << 13, 255, "u1"))):
-        found, closed = mining.mine(docs, 6, proposed, 4, 4)
-        assert sorted((r.lang, r.phrase, r.n) for r in found.collect()) == expected
-        assert all(closed.bitmap[(at := mining.phrase_place(closed, lang, phrase)) >> 3] >> (at & 7) & 1 for lang, phrase, _ in expected if phrase and phrase.count(" ") < 3)
+        closed, frequent = mining.close(docs, 6, proposed, 4, 4)
+        for lang, phrase in expected:
+            h = mining.phrase_hash(lang, phrase)
+            assert frequent.holds(h).all() and (phrase.count(" ") == 3 or closed.holds(h).all())
+
+
+def test_words_of_one_hash_are_told_apart():
+    words = mining.Words("en", ["Ab cd. ab  ef".encode(), b"cd\tab"])
+    names = [words.ids()[1][k] for k in words.ids()[0]]
+    words.hashes = words.hashes & mining.np.uint64(0)
+    assert [words.ids()[1][k] for k in words.ids()[0]] == names == [b"ab", b"cd", b"ab", b"ef", b"cd", b"ab"]
+    assert words.pieces.tolist() == [0, 0, 1, 1, 2, 2]
 
 
 def test_large_counts_are_exact(spark):
