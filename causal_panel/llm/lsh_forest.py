@@ -1,12 +1,15 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
 Documents are sets of word shingles; equal sets are one node. Every tree of the
-forest sorts the nodes by another stretch of their MinHash signature. Nodes that
-are neighbours there, in a region with a common prefix, are candidates. A region
-is as shallow as it can be: runs with ``shallow`` equal hashes are taken whole if
-they are small, else they are cut at ``deep`` hashes, the depth at which the forest
-finds every similar pair almost surely. Regions beyond that are compared in
-tiles, not cut deeper, so density costs no links.
+forest sorts the nodes by another stretch of their MinHash signature, in ranges
+over the tasks. Each node is compared with its neighbours in that order: the
+longest prefix it has in common with one of them says how deep the region is
+that it shares. A node that shares fewer than ``shallow`` values with both is
+alone in the tree. The others are candidates within regions as shallow as can
+be: runs with ``shallow`` values in common are taken whole if they are small,
+else they are cut at ``deep`` values, the depth at which the forest finds every
+similar pair almost surely. Larger regions are compared in tiles, not cut
+deeper, so density costs no links.
 
 Candidates whose signatures agree enough are joined to clusters; only spanning
 links leave a task. Then each cluster is compared on the full shingle sets, in
@@ -17,9 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,6 +174,54 @@ def _compared(rule: ForestRule):
     return run
 
 
+def _common(keys: np.ndarray) -> np.ndarray:
+    """How many leading values each row of a matrix of values has in common with the row after it."""
+    return np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)
+
+
+def _neighbours(rule: ForestRule):
+    """Sorted (tree, key, rep) to (tree, rep, shared, key): the longest prefix in common with a neighbour, where it is long enough.
+
+    What lies beyond the ends of a range is not known there; its first and last
+    row count as sharing all, and prove alone when regions are counted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, whose next neighbour comes with the next batch
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            if held is None:
+                if batch is None:
+                    return
+                rows, before = pa.Table.from_batches([batch]), rule.deep
+            else:
+                rows, before = pa.Table.from_batches([held, batch] if batch is not None else [held]), held_before
+            values = np.frombuffer(b"".join(rows["key"].to_pylist()), np.uint16).reshape(rows.num_rows, rule.deep)
+            trees = rows["tree"].to_numpy()
+            common = np.where(trees[1:] == trees[:-1], _common(values), 0)
+            last = rows.num_rows if batch is None else rows.num_rows - 1
+            shared = np.maximum(np.concatenate([[before], common]), np.concatenate([common, [rule.deep]]))[:last]
+            keep = np.flatnonzero(shared >= rule.shallow)
+            yield from rows.select(["tree", "rep", "key"]).take(pa.array(keep)).combine_chunks().to_batches()
+            if batch is not None:
+                held_before = int(common[-1]) if len(common) else before
+                held = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def forest_leaves(nodes: DataFrame, rule: ForestRule) -> DataFrame:
+    """(tree, rep, key): in every tree the nodes that share ``shallow`` values or more with a neighbour in the order of their keys."""
+    if rule.trees * rule.deep > rule.hashes:
+        raise ValueError("trees times depth must not exceed the hashes of a signature")
+    key = lambda t: F.substring("signature", 2 * rule.deep * t + 1, 2 * rule.deep)
+    trees = F.array(*(F.struct(F.lit(t).alias("tree"), key(t).alias("key")) for t in range(rule.trees)))
+    orders = nodes.select("rep", F.explode(trees).alias("leaf")).select("leaf.tree", "rep", "leaf.key")
+    order = ("tree", "key", "rep")
+    return orders.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(rule), "tree int, rep long, key binary")
+
+
 def dealt_leaves(nodes: DataFrame, rule: ForestRule) -> DataFrame:
     """(rep, tree, region, tile, low, high): the regions of all trees, those of more than ``tile`` nodes in pairs of tiles.
 
@@ -176,11 +229,9 @@ def dealt_leaves(nodes: DataFrame, rule: ForestRule) -> DataFrame:
     nodes of a region meet in the group (low, high) of their tiles. Only ids are
     dealt here, signatures are joined to them afterwards.
     """
-    # A hash of the first values of the signature from each tree's own start on, as column expressions.
-    value = lambda k: F.substring("signature", 2 * (k % rule.hashes) + 1, 2)
-    label = lambda t, depth: F.xxhash64(F.lit(t), *(value(t * rule.deep + k) for k in range(depth)))
-    trees = F.array(*(F.struct(F.lit(t).alias("tree"), label(t, rule.shallow).alias("shallow"), label(t, rule.deep).alias("deep")) for t in range(rule.trees)))
-    leaves = nodes.select("rep", F.explode(trees).alias("leaf")).select("rep", "leaf.*")
+    leaves = staged(forest_leaves(nodes, rule), "forest-neighbours")
+    label = lambda depth: F.xxhash64("tree", F.substring("key", 1, 2 * depth))
+    leaves = leaves.select("rep", "tree", label(rule.shallow).alias("shallow"), label(rule.deep).alias("deep"))
     shared = leaves.groupBy("tree", "shallow").agg(F.count("*").alias("n")).filter("n > 1")
     region = F.when(F.col("n") > rule.tile, F.col("deep")).otherwise(F.col("shallow"))  # the depth of each region
     leaves = leaves.join(shared, ["tree", "shallow"]).select("rep", "tree", region.alias("region"))

@@ -45,12 +45,12 @@ def shingles(text):
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     sets, label = [shingles(t) for t in texts], list(range(len(texts)))
     for i in range(len(sets)):
         for j in range(i):
             common = len(sets[i] & sets[j])
-            if common and 100 * common >= 85 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            if common and 100 * common >= percent * len(sets[i] | sets[j]) and label[i] != label[j]:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return [(i, len(s), label[i]) for i, s in enumerate(sets)]
@@ -80,6 +80,23 @@ def test_near_duplicates_are_those_of_all_pairs(spark, rule):
     assert sorted(map(tuple, got)) == brute_components(texts)
 
 
+def test_leaves_share_a_prefix_with_a_neighbour_in_the_order(spark):
+    """What a plain sort of each tree's keys says, but for what the ends of ranges cannot know."""
+    rng = random.Random(6)
+    rule = lsh_forest.ForestRule(trees=3)
+    rows = [(i, bytes(rng.choice((0, 0, 1, 2)) for _ in range(2 * rule.hashes))) for i in range(2000)]
+    nodes = spark.createDataFrame(rows, "rep long, signature binary")
+    got = {(r.tree, r.rep) for r in lsh_forest.forest_leaves(nodes, rule).collect()}
+    wanted = set()
+    for tree in range(3):
+        key = lambda row: row[1][8 * tree:8 * tree + 8]
+        ordered = sorted(rows, key=lambda row: (key(row), row[0]))
+        for one, two in zip(ordered, ordered[1:]):
+            if key(one)[:6] == key(two)[:6]:
+                wanted |= {(tree, one[0]), (tree, two[0])}
+    assert wanted <= got and len(got - wanted) <= 2 * 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) and 0 < len(wanted) < 5900
+
+
 def test_large_regions_are_dealt_in_tiles(spark):
     rule = lsh_forest.ForestRule(trees=2, tile=32)
     rows = [(i, 50, b"\1\2" * rule.hashes if i < 300 else bytes(2 * rule.hashes - 8) + b"".join(((i * 7 + k) % 65536).to_bytes(2, "big") for k in range(4))) for i in range(320)]

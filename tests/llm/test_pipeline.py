@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 import verify
-from test_documents import awkward, brute_components, corpus, near_texts, shingles
+from test_documents import awkward, brute_components, corpus, near_texts
 
 import corpus_pipeline
 from causal_panel.llm import queries
@@ -36,7 +36,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
     scores = {r.doc_id: r.predicted for r in queries.QUERIES["op1_label_model"](spark, SF).collect()}
     assert rows[1] == [r for r in rows[0] if not scores[r.doc_id]] and len(rows[1]) < len(rows[0])
 
-    groups = brute_components([r.text for r in rows[1]])
+    groups = brute_components([r.text for r in rows[1]], corpus_pipeline.NEAR.percent)
     assert rows[2] == [rows[1][i] for i, _, first in groups if first == i]
 
     assert [r.doc_id for r in rows[3]] == [r.doc_id for r in rows[2]]
@@ -55,15 +55,7 @@ def test_stages_do_what_they_say(spark, tmp_path):
 
 def test_near_duplicate_stage_takes_pairs_from_0_80_on(spark):
     texts = near_texts(random.Random(1))
-    sets = [shingles(t) for t in texts]
-    similar = lambda i, j: sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
-    first = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            if similar(i, j) and first[i] != first[j]:
-                old, new = max(first[i], first[j]), min(first[i], first[j])
-                first = [new if x == old else x for x in first]
-    wanted = [i for i, x in enumerate(first) if i == x]
+    wanted = [i for i, _, first in brute_components(texts, 80) if i == first]
     assert len(wanted) < sum(i == x for i, _, x in brute_components(texts))
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, corpus(spark, texts), SF).collect()) == wanted
 
