@@ -30,14 +30,18 @@ from causal_panel.session import staged
 
 NAMES = "token|secret|password|passwd|passphrase|pwd|apikey|api_key|api-key|access_key|access-key|private_key|auth|authorization|bearer|credential|credentials|key"
 HEADS = r"AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[\w-]{30,}|sk-[A-Za-z0-9_-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{6,}"
+SCHEMES = r"(?:Bearer|Basic|Token|Digest)\s{1,3}"  # before the value of an authorization
 PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "your", "xxxx", "test", "todo", "redacted")
 
-_assigned = re.compile(rf"(?<![A-Za-z])((?:[A-Za-z]+[_-])?(?:{NAMES}))[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}([\"']?)([^\s\"'<>]{{6,}})", re.I)
-_login = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/?#@\"'<>]{0,200}:([^\s/?#\"'<>]{1,200})@(?=[A-Za-z0-9\[])")
+_assigned = re.compile(rf"(?<![A-Za-z])((?:[A-Za-z]+[_-])?(?:{NAMES}))[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}([\"']?)(?:{SCHEMES})?([^\s\"'<>]{{6,}})", re.I)
+_scheme = re.compile(r"(?<![A-Za-z])(?:Bearer|Basic)\s{1,3}([A-Za-z0-9._~+/=-]{12,})")
+_login = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,20}://[^\s:/?#@\"'<>]*:([^\s/?#\"'<>]+)@(?=[A-Za-z0-9\[])")
 _begin = re.compile(r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
 _finish = re.compile(r"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
-_body = re.compile(r"(?:\s+[A-Za-z0-9+/=]{24,})*(?:\s+[A-Za-z0-9+/]+={1,2})?")  # of a block whose end is missing
+# Of a block whose END is missing: headers, lines of the key, and a shorter last one.
+_body = re.compile(r"(?:[ \t]*\r?\n[A-Za-z][A-Za-z0-9-]*:[^\n]*)*(?:(?:\s+[A-Za-z0-9+/=]{24,})+(?:\s+[A-Za-z0-9+/]*[0-9+/=][A-Za-z0-9+/=]*(?=\s|\Z))?)?")
 _blank = re.compile(r"\$?\{.*\}|\$[A-Z_]+|%\w+%|\[.*\]|\(.*\)|\*+|x+|\.+|your[_-]?\w*|pass|password|passwd|pwd|pw|secret|token|" + "|".join(PLACEHOLDERS), re.I)  # whole values
+_assigns = re.compile(rf"(?:[:=]|=>)[\s\"']*(?:{SCHEMES})?$|\b(?:Bearer|Basic)\s{{1,3}}$", re.I)  # what stands before an assigned value
 _headed = re.compile(rf"(?<![A-Za-z0-9])(?:{HEADS})")
 _run = re.compile(r"[A-Za-z0-9+/_=.@:-]*\d[A-Za-z0-9+/_=.@:-]*")
 _edge = ".,;:!?)(]["
@@ -82,10 +86,18 @@ def key_blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates_in(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every candidate; where patterns overlap the first kind wins."""
+    """(start, end, kind) of every candidate; where patterns overlap the first kind wins.
+
+    Candidates are key blocks and passwords in addresses of any length, keys with a
+    known head, values of 6 characters and more under a credential's name (after the
+    word Bearer or Basic, if one stands there), 12 and more after Bearer or Basic
+    alone, and runs of 12 and more that hold a digit. Shorter values are none.
+    """
     found: list[tuple[int, int, str]] = []
     if "=" in text or ":" in text:
         found += [(m.start(3), m.start(3) + len(m[3].rstrip(_edge)), "assigned") for m in _assigned.finditer(text) if len(m[3].rstrip(_edge)) >= 6]
+    if "Bearer" in text or "Basic" in text:
+        found += [(*m.span(1), "assigned") for m in _scheme.finditer(text)]
     if "://" in text and "@" in text:
         found += [(*m.span(1), "login") for m in _login.finditer(text)]
     if "PRIVATE KEY" in text:
@@ -129,7 +141,7 @@ def describe(text: str, start: int, end: int, kind: str, dictionary: frozenset[s
     return [float(x) for x in (
         n, classes.count("0") / n, classes.count("A") / n, classes.count("-") / n, sum(a != b for a, b in zip(classes, classes[1:])) / n,
         len(set(value)) / n, entropy, all(c in "0123456789abcdefABCDEF" for c in value), coverage(value, dictionary),
-        before.rstrip(" \"'").endswith(("=", ":", "=>")), before[-1:] in ("\"", "'") and after[:1] == before[-1:], kind == "headed",
+        bool(_assigns.search(before)), before[-1:] in ("\"", "'") and after[:1] == before[-1:], kind == "headed",
         any(_name.fullmatch(w) for w in near), sum(w.lower() in dictionary for w in near), value.count("/"), value.count("."),
         "://" in joined or "www." in joined, "@" in value or after[:1] == "@" or before[-1:] == "@",
         bool(_blank.fullmatch(value)) if kind in PROVED else any(p in value.lower() for p in PLACEHOLDERS), len(re.split(r"[-_.:/]", value)),
