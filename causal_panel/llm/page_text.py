@@ -1,10 +1,12 @@
 """HTML extraction by markup roles and nearest-URL page differencing.
 
-A page becomes lines, one per block. Lines inside elements whose tag, role, or a
-whole class or id names a menu, header, footer, sidebar, notice, advert, form or
-comment are not text. A name that is only a part of a class or id ("site-footer",
-"has-sidebar", "related-work") drops no element that holds ``article`` or ``main`` or
-lies in one or, on a page without them, has most of its letters. Lines inside
+A page becomes lines, one per block. Lines inside elements whose tag, role, class
+or id names a menu, header, footer, sidebar, notice, advert, form or comment are
+not text. But for comments and adverts, a name drops no element that holds ``article``
+or ``main``; inside one only a role or a whole class does that says advert, comment, menu, notice or the like
+(INSIDE), never an id. A name that is only a part of a class or id ("site-footer",
+"has-sidebar") drops, on a page without ``article`` and ``main``, no element with most
+of its letters. Lines inside
 ``article`` or ``main`` are text. For the rest markup does not tell, and the site does: pages of a host are paired with their neighbours in
 the order of URL paths, the lines of both are aligned by a longest common
 subsequence, and lines that both have are deleted. A neighbour that has all of a
@@ -41,29 +43,47 @@ NAMES = frozenset(
 TEXT = frozenset(("article", "main"))
 WITH = frozenset("has have hide no not with without".split())  # "has-sidebar" is no sidebar
 
+#: Whole classes that drop an element inside ``article`` or ``main`` too.
+INSIDE = frozenset(
+    "ad ads adbox advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus menu modal nav "
+    "navbar navigation newsletter notice notices popup promo promoted respond sidebar sponsor sponsored subscribe".split()
+)
+#: Whole classes and ids of comments and adverts: they drop an element even if it holds an ``article``, as some sites have each comment in one.
+ALWAYS = frozenset("ad ads adbox advert adverts advertisement advertising comment comments commentlist disqus respond sponsor sponsored".split())
+PART, WHOLE = 1, 2  # how a name speaks against an element that may still hold the text
+
+# Attributes by state: a value follows a "=", quoted or up to white space; quotes elsewhere are characters like others.
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"'][^\s<>]*)|[^<>=]|=)*+)>|<[!?][^>]*>", re.S | re.I
 )
-_attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_attribute = re.compile(r"([^\s=/<>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s<>]+)))?|=\s*(?:\"[^\"]*\"|'[^']*')")
 _parts = re.compile(r"[a-z]+")
 
 
-def _named(tag: str, attributes: str, inside_text: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether a part of a class or id would drop it if no text lies in or around it."""
+def _named(tag: str, attributes: str, inside_text: bool) -> tuple[bool, int]:
+    """Whether an element is dropped, and whether a PART of a class or id, or the WHOLE of one or a role, drops it if it holds no text."""
     if tag in DROPPED and tag != "form" or tag == "header" and not inside_text:
-        return True, False
-    part = tag == "form"  # some sites have the whole page in one form
+        return True, 0
+    named = PART if tag == "form" else 0  # some sites have the whole page in one form
     if tag == "form" and inside_text:
-        return True, False
+        return True, 0
     if attributes and tag not in TEXT and tag not in ("html", "body"):
         for name, *values in _attribute.findall(attributes):
+            name = name.lower()
+            if name not in ("class", "id", "role"):
+                continue
             tokens = "".join(values).lower().split()
-            if any(t in (ROLES if name.lower() == "role" else NAMES) for t in tokens):
-                return True, False
-            if name.lower() != "role" and not part:
+            if inside_text:
+                if name != "id" and any(t in (ROLES if name == "role" else INSIDE) for t in tokens):
+                    return True, 0
+            elif name != "role" and any(t in ALWAYS for t in tokens):
+                return True, 0
+            elif any(t in (ROLES if name == "role" else NAMES) for t in tokens):
+                named = WHOLE
+            elif name != "role" and not named:
                 runs = [_parts.findall(t) for t in tokens]
-                part = any(b in NAMES and a not in WITH for found in runs for a, b in zip(["", *found], found))
-    return False, part and not inside_text
+                named = PART if any(b in NAMES and a not in WITH for found in runs for a, b in zip(["", *found], found)) else 0
+    return False, named
 
 
 def page_lines(source: str) -> list[tuple[str, bool]]:
@@ -71,7 +91,8 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
     lines: list[tuple[list[tuple[str, tuple[int, ...]]], bool]] = []
     parts: list[tuple[str, tuple[int, ...]]] = []
     opened: list[tuple[str, bool, int]] = []  # block elements, and inline ones below or at a dropped or partly named one
-    holds: list[bool] = []  # for each partly named element whether it holds article or main
+    holds: list[bool] = []  # for each named element whether it holds article or main
+    whole_name: list[bool] = []
     around: tuple[int, ...] = ()
     dropped = text = at = 0
 
@@ -121,6 +142,7 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
             if part:
                 around += (len(holds),)
                 holds.append(False)
+                whole_name.append(part == WHOLE)
             dropped += drop
             text += tag in TEXT
     if not dropped:
@@ -133,7 +155,7 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
             whole += size
             for k in names:
                 letters[k] += size
-        holds = [2 * n > whole for n in letters]
+        holds = [2 * n > whole and not strict for n, strict in zip(letters, whole_name)]
 
     def kept(found: list[tuple[str, tuple[int, ...]]]) -> str:
         return "".join(x for x, names in found if all(holds[k] for k in names))
