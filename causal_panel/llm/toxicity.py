@@ -96,12 +96,15 @@ class Markers:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -> DataFrame:
-    """(text, toxic) of at most ``rule.labelled`` labelled documents outside the held-out third, chosen by a hash of the id."""
+    """(text, toxic) of at most ``rule.labelled`` labelled documents outside the held-out third, chosen by a hash of the id.
+
+    Of several rows of one id the least text teaches, so there are never more rows than ids.
+    """
     open_ids = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & open_ids).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.labelled)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = staged(rows, "toxicity-rows")
+    rows = staged(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-rows")
 
     # Copies would make chance words look like markers: of rows that share the least or the largest shingle hash the first id stays.
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,6 +145,10 @@ def mine_markers(rows: DataFrame, rule: ToxicityRule) -> Markers:
     return Markers(words, {r.name: r["size"] for r in top if r["size"] > 0})
 
 
+#: How often a label says toxic of toxic and of clean texts before any is seen, and how many rows that counts for.
+LABEL_PRIOR, LABELLED = (0.97, 0.02), 100
+
+
 class LabelModel:
     """Latent class model of votes: firing rates of every voter on toxic and clean texts, and weights that discount repeated evidence."""
 
@@ -177,11 +184,22 @@ class LabelModel:
         np.fill_diagonal(self.correlations, 1)
         self.weights = 1 / (self.correlations**2).sum(axis=1)
 
-    def posterior(self, patterns: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        """Posteriors of learning rows, whose label is one more voter: right for 97 % of toxic and 98 % of clean texts."""
+    def posterior(self, patterns: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.ndarray:
+        """Posteriors of learning rows, whose label is one more voter.
+
+        How often a label says toxic of toxic and of clean rows is estimated by
+        the same rounds of expectation and maximisation, the other voters' rates
+        held; ``LABELLED`` rows that it is right for, all but a few, come before the data.
+        """
         voted = self._posterior((patterns[:, None] >> np.arange(len(VOTERS)) & 1).astype(float))
-        toxic, clean = voted * np.where(labels > 0, 0.97, 0.03), (1 - voted) * np.where(labels > 0, 0.02, 0.98)
-        return toxic / (toxic + clean)
+        said, toxic = labels > 0, voted
+        self.label_rates = LABEL_PRIOR
+        for _ in range(rounds):
+            odds = [np.where(said, rate, 1 - rate) for rate in self.label_rates]
+            toxic = voted * odds[0] / np.maximum(voted * odds[0] + (1 - voted) * odds[1], 1e-300)
+            self.label_rates = tuple(
+                float((share[said].sum() + LABELLED * prior) / (share.sum() + LABELLED)) for share, prior in zip((toxic, 1 - toxic), LABEL_PRIOR))
+        return toxic
 
 
 def fit_linear(features: list[list[int]], soft: np.ndarray, width: int, steps: int = 400, ridge: float = 2e-4) -> np.ndarray:
