@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causal_panel.llm.text import GAP, words
+from causal_panel.llm.text import GAP, fresh, words
 
 WINDOW = 5
 
@@ -110,11 +110,16 @@ def log_ratios(docs: DataFrame, trusted: Column, rule: RatioRule = RatioRule(),
 
 
 def score(docs: DataFrame, ratios: list[int], text: str = "text") -> DataFrame:
-    """Add n_grams and ratio_sum (millionths); a document without words has zero in both."""
+    """Add n_grams and ratio_sum (millionths); a document without words has zero in both.
+
+    Columns of these names that ``docs`` already has are replaced; all others stay.
+    """
     model = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<bigint>")  # folded to one constant
     add = lambda total, cell: total + F.get(model, cell.cast("int"))
     sums = lambda found: F.struct(F.size(found).cast("long").alias("n_grams"), F.aggregate(found, F.lit(0).cast("long"), add).alias("ratio_sum"))
-    return docs.withColumn("_ratio", _let(cells(F.col(text), len(ratios)), sums)).select("*", "_ratio.n_grams", "_ratio.ratio_sum").drop("_ratio")
+    both = fresh(docs, "ratio")
+    scored = docs.withColumn(both, _let(cells(F.col(text), len(ratios)), sums))
+    return scored.withColumns({name: F.col(both)[name] for name in ("n_grams", "ratio_sum")}).drop(both)
 
 
 def quality_rules(docs: DataFrame, trusted: Column, rule: RatioRule = RatioRule()) -> DataFrame:
@@ -124,7 +129,8 @@ def quality_rules(docs: DataFrame, trusted: Column, rule: RatioRule = RatioRule(
     least the threshold: ratio_sum >= threshold * n_grams, in whole numbers.
     Without any trusted document all ratios favour nothing in particular, and
     the base rules decide nearly alone. Empty input gives an empty table; nulls
-    in other columns and repeated rows are carried through.
+    in other columns and repeated rows are carried through. Columns that ``docs``
+    already has under the names of results are replaced.
     """
     scored = score(word_statistics(docs), log_ratios(docs, trusted, rule))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("ratio_sum") >= rule.threshold * F.col("n_grams")))

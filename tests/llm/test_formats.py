@@ -55,6 +55,21 @@ def test_wrappers_with_a_name_in_their_class_keep_the_article(name):
     assert page_text.page_lines(whole) == [("Story.", True)]
 
 
+@pytest.mark.parametrize("source, lines", [
+    ("<article><p data-x=it's>Hello it's me and more</p><p>Two.</p></article>", ["Hello it's me and more", "Two."]),
+    ('<main><p title="a > b" class=\'x\'>One &amp; two</p><p ">Three.</p><a href=/x?y=1&z="q">four</a></main>', ["One & two", "Three.", "four"]),
+    ('<article><p data-note="class=ad">Kept.</p><p data-x="unclosed>Lost</p></article>', ["Kept."]),
+    ('<div class="widget"><article><p>Story.</p></article></div><div class="widget">Tags</div>', ["Story."]),
+    ('<article><h2 id="banner">Banner years</h2><section id="related"><p>Near.</p></section><div class="notice">Note</div><div class="social"><p>Life.</p></div></article>', ["Banner years", "Near.", "Life."]),
+    ('<main><div class="social"><p>Society.</p></div><div role="navigation">Menu</div></main>', ["Society."]),
+    ('<div role="banner">Top</div><div class="sidebar">Side</div><p>Body.</p>', ["Body."]),
+    ("<article>" + "<b =" * 20_000 + "x</article>", None),
+])
+def test_attributes_and_whole_names(source, lines):
+    found = [line for line, _ in page_text.page_lines(source)]
+    assert lines is None or found[:len(lines)] == lines and (len(found) == len(lines) or "unclosed" in source)
+
+
 def test_lines_that_neighbours_share_are_deleted(spark):
     page = lambda k: f"<div>Our Site</div><div>Home | Products</div><p>Story {k} begins.</p><p>It ends {k}.</p><div>All rights reserved</div>"
     rows = [(k, f"https://a.example.org/news/{k:03d}", page(k)) for k in range(40)]
