@@ -53,8 +53,10 @@ def _filled(how: str, values: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray
     seen = np.maximum.accumulate(np.where(valid, np.arange(len(values)), -1))
     if how == "sum":
         return FOLDS[how].running(values), np.ones(len(values), bool)
-    # A gap repeats the valid value before it, which changes no maximum, minimum or last value.
-    return FOLDS[how].running(values[np.maximum(seen, 0)]), seen >= 0
+    if not valid.any():
+        return values, valid
+    # A gap repeats the valid value before it, or else the first one, which changes no maximum, minimum or last value.
+    return FOLDS[how].running(values[np.maximum(seen, valid.argmax())]), seen >= 0
 
 
 def _array(column: pa.ChunkedArray | pa.Array, zero: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ from causal_panel.session import shared_folder
 from causal_panel.sources.artifacts import load_model, save_model
 
 from . import query
-from .inputs import CHANNELS, LOCF_SQL, SPEC, once, order_rows, panel, r6, s6, span_hours, wide_scores, ORDER_FEATURES, ORDERS_SQL
+from .inputs import CHANNELS, LOCF_SQL, SPEC, once, order_rows, panel, r6, s6, span_hours, wide_scores, ORDER_FEATURES, ORDERS_SQL, WIDE_SQL
 from .tables import SEED, SPLIT_SQL, assignment, quantile_sql
 from .inputs import PANEL_SQL
 
@@ -124,7 +124,14 @@ def ml_permutation_importance(spark, sf):
     return trees.permutation_importance(boosted(spark, sf), feature_table(spark, sf).where("split = 'val'"), ["entity", "idx"], "y")
 
 
-@query("ml_isotonic")
+@query(
+    "ml_isotonic",
+    f"""WITH {WIDE_SQL}, points AS (SELECT least(greatest(a, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS p, CAST(sum(y) AS DOUBLE) AS pos, CAST(count(*) AS DOUBLE) AS n FROM wide WHERE a IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+      placed AS (SELECT *, row_number() OVER (ORDER BY p) AS i, sum(pos) OVER (ORDER BY p) AS pos_upto, sum(n) OVER (ORDER BY p) AS n_upto FROM points),
+      least_means AS (SELECT f.i AS a, t.i AS b, min((t.pos_upto - f.pos_upto + f.pos) / (t.n_upto - f.n_upto + f.n)) OVER (PARTITION BY f.i ORDER BY t.i DESC) AS m FROM placed f JOIN placed t ON f.i <= t.i),
+      fitted AS (SELECT b AS i, max(m) AS fit FROM least_means GROUP BY b)
+      SELECT w.a, count(*) AS n, {s6('max(f.fit)')} AS calibrated FROM wide w JOIN placed p ON p.p = least(greatest(w.a, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) JOIN fitted f USING (i) GROUP BY w.a""",
+)
 def ml_isotonic(spark, sf):
     rows = wide_scores(spark, sf)
     fitted = Calibrator("isotonic").fit(rows, "a")
