@@ -90,7 +90,7 @@ class WordTokenizer:
     """
 
     LIMIT = 100_000  # cores in a generation, but for those of one batch
-    BATCH = 2_000_000  # characters whose words are put together at a time
+    BATCH = 1_000_000  # characters whose words are put together at a time
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
     def __init__(self, path: str):
