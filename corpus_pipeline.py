@@ -9,56 +9,11 @@ are documents whose sets of five-word shingles have a similarity of 0.8 or more
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from causal_panel.llm import lsh_forest, packing, secret_scan, source_mix, toxicity
-from causal_panel.llm.queries import tokenizer_path
+from causal_panel.llm.pipeline import NEAR, STAGES  # noqa: F401
 from causal_panel.llm.text import table
 from causal_panel.session import staged
 
-
-#: At 0.80 a pair is in no common region of 32 trees of depth 4 with probability (1 - 0.8**4)**32 = 5e-8,
-#: and its signatures agree in fewer than 0.61 of 128 hashes with 6e-7.
-NEAR = lsh_forest.ForestRule(words=5, percent=80, trees=32, screen=0.61)
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    score = toxicity.scorer(toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return docs.filter(score("text") < toxicity.ToxicityRule().cut)
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (similarity of 0.8 or more): the one whose id is the smallest. Rows without an id stay."""
-    grouped = lsh_forest.near_duplicates(docs, NEAR)
-    gone = grouped.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced; n_chars follows the text."""
-    clean = secret_scan.redact(docs, secret_scan.findings(docs))
-    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
-    return source_mix.repeat_documents(docs)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2,048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path())
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash_near_dedup", drop_copies),
-    ("secret_scan", redact_secrets),
-    ("source_mix", mix),
-    ("best_fit_packing", pack),
-]
-
 #: SQL cannot express the classifiers and the tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
