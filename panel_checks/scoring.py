@@ -378,13 +378,47 @@ def ml_blend(spark, sf):
     return mixed.select("entity", "idx", r6(F.col("score")).alias("score"))
 
 
-@query("ml_optimise_weights")
+def _candidates_sql(candidates: str, points: int) -> str:
+    """The best utility of candidates (g, wa, wb, wr: whole weights) over whole-number ranks."""
+    return f"""WITH {WEIGHTS_SQL}, rows_of AS (SELECT w.a, w.b, w.rule, s.y, s.u_pos - s.u_neg AS delta FROM wide w JOIN weighted s USING (entity, idx) WHERE s.model = 'a'),
+      ranked AS (SELECT {', '.join(f'2 * (rank() OVER (ORDER BY {m}) - 1) + count(*) OVER (PARTITION BY {m}) AS r_{m}' for m in ('a', 'b', 'rule'))}, y, delta FROM rows_of),
+      tuples AS (SELECT r_a, r_b, r_rule, count(*) AS n, sum(delta) AS delta, sum(greatest(delta, 0)) AS best FROM ranked GROUP BY ALL),
+      candidates AS ({candidates}),
+      per AS (SELECT g, wa * r_a + wb * r_b + wr * r_rule AS score, sum(n) AS n, sum(delta) AS delta, sum(best) AS best FROM tuples, candidates GROUP BY ALL),
+      placed AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY score) AS upto, sum(n) OVER (PARTITION BY g) AS n_all, sum(best) OVER (PARTITION BY g) AS best_all,
+        sum(delta) OVER (PARTITION BY g ORDER BY score DESC) AS delta_above FROM per),
+      asked AS (SELECT g, n_all, j, (n_all - 1) * j // {points - 1} AS rn FROM (SELECT DISTINCT g, CAST(n_all AS BIGINT) AS n_all FROM placed), range({points}) t(j)),
+      lows AS (SELECT a.*, p.score AS lo FROM asked a ASOF JOIN placed p ON a.g = p.g AND a.rn + 1 <= p.upto),
+      grid AS (SELECT l.g, l.n_all, l.lo + (p.score - l.lo) * ((((l.n_all - 1) * l.j) % {points - 1}) / {points - 1}.0::DOUBLE) AS threshold
+        FROM lows l ASOF JOIN placed p ON l.g = p.g AND least(l.rn + 1, l.n_all - 1) + 1 <= p.upto),
+      swept AS (SELECT t.g, t.n_all, t.threshold, p.delta_above / nullif(p.best_all, 0) AS utility FROM (SELECT DISTINCT * FROM grid) t ASOF JOIN placed p ON t.g = p.g AND t.threshold <= p.score),
+      found AS (SELECT g, threshold / (2.0::DOUBLE * n_all * greatest(wa + wb + wr, 1)) AS threshold, utility FROM swept JOIN candidates USING (g) WHERE utility IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY g ORDER BY round(utility, 12) DESC, swept.threshold) = 1)"""
+
+
+_GRID = "SELECT printf('%.6f,%.6f,%.6f', x / 10.0::DOUBLE, y / 10.0::DOUBLE, (10 - x - y) / 10.0::DOUBLE) AS g, x AS wa, y AS wb, 10 - x - y AS wr FROM range(11) s(x), range(11) t(y) WHERE x + y <= 10"
+
+
+@query(
+    "ml_optimise_weights",
+    f"""{_candidates_sql(_GRID, 120)} SELECT g AS candidate, wa / 10.0::DOUBLE AS a, wb / 10.0::DOUBLE AS b, wr / 10.0::DOUBLE AS rule, {s6('utility')} AS utility, {s6('threshold')} AS threshold
+        FROM found JOIN candidates USING (g)""",
+)
 def ml_optimise_weights(spark, sf):
-    rows = utility.utility_weights(wide_scores(spark, sf))
-    return optimise_weights(rows, list(MODELS), steps=4)
+    found = optimise_weights(utility.utility_weights(wide_scores(spark, sf)), list(MODELS))
+    return found.withColumns({c: r6(F.col(c)) for c in ("utility", "threshold")})
 
 
-@query("ml_contribution_table")
+_MEMBERS = """VALUES ('full', 6, 3, 1), ('alone:a', 1, 0, 0), ('alone:b', 0, 1, 0), ('alone:rule', 0, 0, 1),
+  ('without:a', 0, 3, 1), ('without:b', 6, 0, 1), ('without:rule', 6, 3, 0)"""
+
+
+@query(
+    "ml_contribution_table",
+    f"""{_candidates_sql(f"SELECT * FROM ({_MEMBERS}) t(g, wa, wb, wr)", 200)} SELECT m.model, m.weight, {s6('x.utility')} AS utility_alone, {s6('o.utility')} AS utility_without,
+        {s6('f.utility - o.utility')} AS marginal_contribution
+        FROM (VALUES ('a', 0.6::DOUBLE), ('b', 0.3::DOUBLE), ('rule', 0.1::DOUBLE)) m(model, weight) JOIN found x ON x.g = 'alone:' || m.model JOIN found o ON o.g = 'without:' || m.model, found f WHERE f.g = 'full'""",
+)
 def ml_contribution_table(spark, sf):
-    rows = utility.utility_weights(wide_scores(spark, sf))
-    return contribution_table(rows, list(MODELS), WEIGHTS)
+    found = contribution_table(utility.utility_weights(wide_scores(spark, sf)), list(MODELS), WEIGHTS)
+    return found.withColumns({c: r6(F.col(c)) for c in ("utility_alone", "utility_without", "marginal_contribution")})
