@@ -93,17 +93,17 @@ def span_hours(spark: SparkSession, sf: str) -> int:
 _LATEST = ", ".join(
     f"arg_max(round(value * 100), ts) FILTER (WHERE event_type = '{c}') AS {c}" for c in CHANNELS
 )
-DENSE_SQL = f"""hourly AS (
+DENSE_SQL = f"""hourly AS MATERIALIZED (
   SELECT user_id AS entity, date_trunc('hour', ts) AS h, {_LATEST} FROM events GROUP BY 1, 2),
 spans AS (SELECT entity, min(h) AS h0, max(h) AS h1 FROM hourly GROUP BY 1),
 spine AS (SELECT entity, unnest(generate_series(h0, h1, INTERVAL 1 HOUR)) AS h FROM spans),
-dense AS (
+dense AS MATERIALIZED (
   SELECT s.entity, s.h, (row_number() OVER (PARTITION BY s.entity ORDER BY s.h) - 1)::INTEGER AS idx,
          {', '.join(CHANNELS)}
   FROM spine s LEFT JOIN hourly USING (entity, h))"""
 PANEL_SQL = f"""{DENSE_SQL},
 firsts AS (SELECT entity, min(idx) AS first_pos FROM dense WHERE error > {ALARM} GROUP BY 1),
-panel AS (
+panel AS MATERIALIZED (
   SELECT d.*, CASE WHEN idx >= greatest(first_pos - 6, 0) THEN 1 ELSE 0 END::INTEGER AS y,
          CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS acctbal,
          CASE WHEN n_regionkey < 3 THEN 'A' ELSE 'B' END AS site
@@ -111,7 +111,7 @@ panel AS (
   JOIN customer ON c_custkey = entity JOIN nation ON n_nationkey = c_nationkey)"""
 RUNNING = "(PARTITION BY entity ORDER BY idx ROWS UNBOUNDED PRECEDING)"
 LOCF_SQL = f"""{PANEL_SQL},
-filled AS (SELECT *, {', '.join(f"last_value({c} IGNORE NULLS) OVER {RUNNING} AS {c}_locf" for c in CHANNELS)} FROM panel)"""
+filled AS MATERIALIZED (SELECT *, {', '.join(f"last_value({c} IGNORE NULLS) OVER {RUNNING} AS {c}_locf" for c in CHANNELS)} FROM panel)"""
 
 
 # --- S ------------------------------------------------------------------------
@@ -138,17 +138,17 @@ def long_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WIDE_SQL = f"""{LOCF_SQL},
-wide AS (SELECT entity, idx, y, site AS split,
+wide AS MATERIALIZED (SELECT entity, idx, y, site AS split,
   coalesce({s6('error_locf / (error_locf + 10000.0::DOUBLE)')}, 0) AS a,
   coalesce({s6('click_locf / (click_locf + 10000.0::DOUBLE)')}, 0) AS b,
   {s6('0.5::DOUBLE * (coalesce(error_locf > 10000, false))::INTEGER + 0.35::DOUBLE * (coalesce(click_locf > 9000, false))::INTEGER + 0.15::DOUBLE * (coalesce(view_locf > 12000, false))::INTEGER')} AS rule
   FROM filled)"""
 SCORES_SQL = f"""{WIDE_SQL},
-scores AS (UNPIVOT wide ON a, b, rule INTO NAME model VALUE score)"""
+scores AS MATERIALIZED (UNPIVOT wide ON a, b, rule INTO NAME model VALUE score)"""
 _DT = "(idx - (first_pos0 + 6))"
 WEIGHTS_SQL = f"""{SCORES_SQL},
 onset AS (SELECT entity AS oe, min(idx) AS first_pos0 FROM wide WHERE y = 1 GROUP BY 1),
-weighted AS (
+weighted AS MATERIALIZED (
   SELECT s.*,
     CASE WHEN first_pos0 IS NULL THEN -0.05::DOUBLE WHEN {_DT} > 3 THEN 0
          WHEN {_DT} <= -6 THEN greatest(({_DT} + 12) / 6.0::DOUBLE, -0.05::DOUBLE)

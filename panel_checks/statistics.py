@@ -193,37 +193,72 @@ def derived(spark, sf):
     rows = table(spark, sf, "lineitem").select(*LINE)
     return rows.withColumns({
         "net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
-        "mixed": F.col("l_quantity") * 0.9 + F.col("l_discount") * 20, "same": F.lit(1.0),
+        "mixed": F.col("l_quantity") * (F.col("l_tax") + 0.9) + F.col("l_discount") * 20, "same": F.lit(1.0),
     })
 
 
 DERIVED = (*LINE, "net", "mixed", "same")
 
 
-@query("sta_vif")
+LIVE = DERIVED[:-1]  # "same" does not vary
+_R = ", ".join("[" + ", ".join("1::DOUBLE" if a == b else f"corr({a}, {b})" for b in LIVE) + "]" for a in LIVE)
+_UNIT = lambda n: "[" + ", ".join("[" + ", ".join(f"{int(i == j)}::DOUBLE" for j in range(n)) + "]" for i in range(n)) + "]"
+#: Gauss-Jordan elimination of the correlation matrix beside a unit matrix; greedy pruning; the largest eigenvalue by squaring, each time divided by the trace.
+COLLINEARITY_SQL = f"""derived AS (SELECT {', '.join(LINE)}, l_extendedprice * (1 - l_discount) AS net, l_quantity * (l_tax + 0.9::DOUBLE) + l_discount * 20 AS mixed FROM lineitem),
+r AS MATERIALIZED (SELECT [{_R}] AS r FROM derived),
+steps AS (SELECT 0 AS k, list_transform(r, lambda row, i: list_concat(row, {_UNIT(len(LIVE))}[i])) AS m FROM r
+  UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[k + 1])
+    ELSE list_transform(row, lambda v, j: v - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM steps WHERE k < {len(LIVE)}),
+vif AS (SELECT unnest({list(LIVE)!r}) AS feature, unnest(list_transform(range(1, {len(LIVE) + 1}), lambda i: m[i][{len(LIVE)} + i])) AS vif FROM steps WHERE k = {len(LIVE)}),
+walk AS (SELECT 0 AS k, CAST([] AS INTEGER[]) AS kept FROM r
+  UNION ALL SELECT k + 1, CASE WHEN len(list_filter(kept, lambda o: abs(r[k + 1][o]) >= 0.85)) = 0 THEN list_append(kept, CAST(k + 1 AS INTEGER)) ELSE kept END FROM walk, r WHERE k < {len(LIVE)}),
+kept AS (SELECT kept, list_transform(kept, lambda i: list_transform(kept, lambda j: r[i][j])) AS r FROM walk, r WHERE k = {len(LIVE)}),
+whole AS (SELECT name, m, len(m) AS n FROM (
+  SELECT 'all' AS name, r AS m FROM r UNION ALL SELECT 'all inverse', list_transform(m, lambda row: row[{len(LIVE) + 1}:]) FROM steps WHERE k = {len(LIVE)}
+  UNION ALL SELECT 'kept', r FROM kept)),
+kept_steps AS (SELECT 0 AS k, list_transform(r, lambda row, i: list_concat(row, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN i = j THEN 1::DOUBLE ELSE 0 END))) AS m, len(r) AS n FROM kept
+  UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / row[k + 1])
+    ELSE list_transform(row, lambda v, j: v - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END), n FROM kept_steps WHERE k < n),
+powers AS (SELECT name, 0 AS k, 0::DOUBLE AS logs, m, n FROM (SELECT * FROM whole UNION ALL SELECT 'kept inverse', list_transform(m, lambda row: row[n + 1:]), n FROM kept_steps WHERE k = n)
+  UNION ALL SELECT name, k + 1, logs + ln(t) / pow(2, k), list_transform(m, lambda row: list_transform(range(1, n + 1), lambda j: list_sum(list_transform(range(1, n + 1), lambda x: row[x] / t * (m[x][j] / t))))), n
+  FROM (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: m[i][i])) AS t FROM powers) WHERE k < 30),
+eigen AS (SELECT name, exp(logs) AS largest FROM powers WHERE k = 30),
+condition AS (SELECT split_part(a.name, ' ', 1) AS name, sqrt(a.largest * b.largest) AS value FROM eigen a JOIN eigen b ON b.name = a.name || ' inverse')"""
+
+
+@query("sta_vif", f"WITH RECURSIVE {COLLINEARITY_SQL} SELECT feature, {s6('vif', 4)} AS vif FROM vif UNION ALL SELECT 'same', NULL")
 def sta_vif(spark, sf):
-    return collinearity.variance_inflation_factors(derived(spark, sf), DERIVED)
+    found = collinearity.variance_inflation_factors(derived(spark, sf), DERIVED)
+    return found.withColumn("vif", r6(F.col("vif"), 4))
 
 
-@query("sta_vif_top", )
+@query("sta_vif_top", f"WITH RECURSIVE {COLLINEARITY_SQL} SELECT feature, {s6('vif', 4)} AS vif FROM vif ORDER BY vif.vif DESC, feature LIMIT 3")
 def sta_vif_top(spark, sf):
-    return collinearity.variance_inflation_factors(derived(spark, sf), DERIVED).limit(3)
+    return collinearity.variance_inflation_factors(derived(spark, sf), DERIVED).limit(3).withColumn("vif", r6(F.col("vif"), 4))
 
 
-@query("sta_greedy_decorrelate")
+@query("sta_greedy_decorrelate", f"WITH RECURSIVE {COLLINEARITY_SQL} SELECT unnest(range(len(kept)))::INTEGER AS position, unnest(list_transform(kept, lambda i: {list(LIVE)!r}[i])) AS feature FROM kept")
 def sta_greedy_decorrelate(spark, sf):
-    kept = collinearity.greedy_decorrelate(derived(spark, sf), DERIVED[:-1])
+    kept = collinearity.greedy_decorrelate(derived(spark, sf), LIVE)
     return spark.createDataFrame([(i, c) for i, c in enumerate(kept)], "position int, feature string")
 
 
-@query("sta_condition_number")
+@query("sta_condition_number", f"WITH RECURSIVE {COLLINEARITY_SQL} SELECT {s6('value', 4)} AS condition_number FROM condition WHERE name = 'all'")
 def sta_condition_number(spark, sf):
     value = collinearity.condition_number(derived(spark, sf), DERIVED)
-    return spark.createDataFrame([(value,)], "condition_number double")
+    return spark.createDataFrame([(value,)], "condition_number double").select(r6(F.col("condition_number"), 4).alias("condition_number"))
 
 
-@query("sta_collinearity_report")
+@query(
+    "sta_collinearity_report",
+    f"""WITH RECURSIVE {COLLINEARITY_SQL} SELECT name, {s6('value', 4)} AS value FROM (
+        SELECT 'n_features' AS name, {len(DERIVED)}::DOUBLE AS value UNION ALL SELECT 'n_after_pruning', len(kept) + 1 FROM kept UNION ALL SELECT 'max_vif', max(vif) FROM vif
+        UNION ALL SELECT 'median_vif', median(vif) FROM vif UNION ALL SELECT 'n_vif_over_10', count(*) FROM vif WHERE vif > 10 UNION ALL SELECT 'condition_number', value FROM condition WHERE name = 'kept')""",
+)
 def sta_collinearity_report(spark, sf):
+    """Figures of the report; a column that does not vary is kept by pruning and left out of the condition number."""
     found = collinearity.collinearity_report(derived(spark, sf), DERIVED)
     rows = [(k, float(v)) for k, v in found.items() if isinstance(v, (int, float))]
-    return spark.createDataFrame(rows, "name string, value double")
+    return spark.createDataFrame(rows, "name string, value double").withColumn("value", r6(F.col("value"), 4))
+
+

@@ -130,7 +130,7 @@ def quantile_sql(source: str, value: str, points: int, by: str = "", extra: str
     part = f"PARTITION BY {by} " if by else ""
     join = f"s.{by} = lo.{by} AND " if by else ""
     join_hi = f"s.{by} = hi.{by} AND " if by else ""
-    return f"""qs AS (SELECT {group}{value} AS v, row_number() OVER ({part}ORDER BY {value}) - 1 AS rn, count(*) OVER ({part}) AS n
+    return f"""qs AS MATERIALIZED (SELECT {group}{value} AS v, row_number() OVER ({part}ORDER BY {value}) - 1 AS rn, count(*) OVER ({part}) AS n
         FROM {source} WHERE {value} IS NOT NULL),
       qg AS (SELECT DISTINCT {group}n, unnest(range(0, {points})) AS j FROM qs),
       qp AS (SELECT {'s.' + by + ', ' if by else ''}s.j::INTEGER AS j,
