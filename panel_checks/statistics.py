@@ -89,10 +89,30 @@ def sta_screen(spark, sf):
     return found.select("feature", "n_septic", "n_control", *[r6(F.col(c), d).alias(c) for c, d in digits.items()])
 
 
-@query("sta_screen_p_values")
+def _simpson(function: str, start: str, stop: str, n: int) -> str:
+    """Integral of a function of ``u`` by Simpson's rule with n (even) steps."""
+    at = function.replace("u", f"(({start}) + (({stop}) - ({start})) * i / {n}.0::DOUBLE)")
+    weight = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range({n + 1}), lambda i: {weight} * {at})) * (({stop}) - ({start})) / {3 * n}.0::DOUBLE)"
+
+
+_NORMAL_P = "least(1, sqrt(2 / pi()) * " + _simpson("exp(-u * u / 2)", "abs(z)", "abs(z) + 12", 4000) + ")"
+_STUDENT_P = "2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * " + _simpson("pow(cos(u), df - 1)", "atan(abs(t) / sqrt(df))", "pi() / 2", 20000)
+_STEPPED = lambda p: f"least(min(raw_{p}) OVER (ORDER BY k_{p} DESC), 1)"
+TESTS_SQL = f"""{SUMMARY_SQL}, m AS ({_MOMENTS}), {_LONG}, {RANK_SQL},
+  tests AS (SELECT feature, {_T} AS t, {_DF} AS df, z FROM m JOIN mw USING (feature) WHERE n_a >= 30 AND n_b >= 30),
+  ps AS (SELECT feature, {_STUDENT_P} AS p_welch, {_NORMAL_P} AS p_mannwhitney FROM tests),
+  raws AS (SELECT *, {', '.join(f'{p} * count(*) OVER () / row_number() OVER (ORDER BY {p}) AS raw_{p}, row_number() OVER (ORDER BY {p}) AS k_{p}' for p in ('p_welch', 'p_mannwhitney'))} FROM ps)"""
+
+
+@query(
+    "sta_screen_p_values",
+    f"""WITH {TESTS_SQL} SELECT feature, {s6('p_welch')} AS p_welch, {s6('p_mannwhitney')} AS p_mannwhitney, {s6(_STEPPED('p_welch'))} AS q_welch,
+        {s6(_STEPPED('p_mannwhitney'))} AS q_mannwhitney, {_STEPPED('p_welch')} < 0.05 AS significant FROM raws""",
+)
 def sta_screen_p_values(spark, sf):
     found = univariate.screen(order_rows(spark, sf), "entity", "y", ORDER_FEATURES)
-    return found.select("feature", "p_welch", "p_mannwhitney", "q_welch", "q_mannwhitney", "significant")
+    return found.select("feature", *[r6(F.col(c)).alias(c) for c in ("p_welch", "p_mannwhitney", "q_welch", "q_mannwhitney")], "significant")
 
 
 _RATES = " UNION ALL ".join(
@@ -143,14 +163,23 @@ def sta_ks(spark, sf):
         {s6('ks_stat')} AS ks_stat, CASE WHEN psi <= 0.1 THEN 'stable' WHEN psi <= 0.25 THEN 'moderate' ELSE 'material' END AS severity FROM psi JOIN ks USING (feature) JOIN tot USING (feature)""",
 )
 def sta_drift_report(spark, sf):
-    found = drift.ranked(drift.drift_report(drift_pair(spark, sf), DRIFT_FEATURES)).drop("ks_p")
+    found = drift.ranked(drift.drift_report(drift_pair(spark, sf), DRIFT_FEATURES)).drop("ks_p")  # sta_drift_p_values has it
     digits = {"psi": 6, "missing_ref": 6, "missing_cmp": 6, "mean_ref": 4, "mean_cmp": 4, "ks_stat": 6}
     return found.withColumns({c: r6(F.col(c), d) for c, d in digits.items()})
 
 
-@query("sta_drift_p_values")
+_X = "sqrt(nr * nk / (nr + nk)) * ks_stat"
+
+
+@query(
+    "sta_drift_p_values",
+    f"""WITH {PSI_SQL} SELECT feature, {s6('ks_stat')} AS ks_stat,
+        {s6(f"CASE WHEN {_X} < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 301), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * pow({_X}, 2)))))) END")} AS ks_p
+        FROM ks JOIN tot USING (feature)""",
+)
 def sta_drift_p_values(spark, sf):
-    return drift.drift_report(drift_pair(spark, sf), DRIFT_FEATURES).select("feature", "ks_stat", "ks_p")
+    found = drift.drift_report(drift_pair(spark, sf), DRIFT_FEATURES)
+    return found.select("feature", r6(F.col("ks_stat")).alias("ks_stat"), r6(F.col("ks_p")).alias("ks_p"))
 
 
 # --- collinearity --------------------------------------------------------------------------
