@@ -18,14 +18,18 @@ def psv_schema(spec: PanelSpec) -> T.StructType:
     return T.StructType([*reals, T.StructField(spec.label, T.FloatType())])
 
 
+STEM = r"([^/]*)\.psv$"  # of a path
+
+
 def read_psv_panel(
-    spark: SparkSession, path: str, spec: PanelSpec, site: str | None = None, glob: str = "p*.psv"
+    spark: SparkSession, path: str | list[str], spec: PanelSpec, site: str | None = None, glob: str = "p*.psv", entity_pattern: str = STEM
 ) -> DataFrame:
-    """Many pipe-separated files, one per entity, as one table.
+    """Many pipe-separated files, one per entity, as one table; folders are searched to any depth.
 
-    The entity is the file stem. Small files are packed into tasks by
+    The entity is what the group of ``entity_pattern`` matches in the path, by
+    default the file stem. Small files are packed into tasks by
     ``spark.sql.files.maxPartitionBytes`` / ``openCostInBytes``; write the panel
-    to Parquet once (``build_panel``) rather than rereading the files.
+    to Parquet once (``build_panel``, ``ingest.refresh_panel``) rather than rereading the files.
     """
     rows = (
         spark.read.option("sep", "|")
@@ -33,14 +37,15 @@ def read_psv_panel(
         .option("nullValue", MISSING_TOKEN)
         .option("enforceSchema", False)
         .option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", True)
         .schema(psv_schema(spec))
         .csv(path)
     )
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.psv$", 1)
+    entity = F.regexp_extract(F.col("_metadata.file_path"), entity_pattern, 1)
     # The remaining columns drop NaN written in other spellings as well.
     clean = [F.nanvl(F.col(c), F.lit(None).cast("float")).alias(c) for c in (*spec.channels, *spec.statics)]
     sited = [F.lit(site).alias(spec.site)] if spec.site else []
-    return rows.select(*clean, F.col(spec.label).cast("tinyint").alias(spec.label), stem.alias(spec.entity), *sited)
+    return rows.select(*clean, F.col(spec.label).cast("tinyint").alias(spec.label), entity.alias(spec.entity), *sited)
 
 
 def with_hour(rows: DataFrame, spec: PanelSpec, clock: str = "ICULOS") -> DataFrame:

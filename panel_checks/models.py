@@ -94,7 +94,13 @@ def ml_boosted(spark, sf):
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score"), 4).alias("mean_score"), F.lit(model.rounds).alias("rounds"))
 
 
-@query("ml_missing_aware_inputs")
+@query(
+    "ml_missing_aware_inputs",
+    f"""WITH {LOCF_SQL}, {SPLIT_SQL}, counted AS (SELECT entity, idx, error_locf::DOUBLE AS v, (count(error) OVER (PARTITION BY entity ORDER BY idx ROWS UNBOUNDED PRECEDING))::DOUBLE AS n FROM filled),
+        rows_of AS (SELECT c.* FROM counted c JOIN assigned a USING (entity) WHERE a.split = 'train'),
+        ends AS (SELECT min(v) - greatest(1, max(v) - min(v)) AS low, max(v) + greatest(1, max(v) - min(v)) AS high FROM rows_of)
+        SELECT entity, idx, {s6('coalesce(v, low)', 4)} AS error_locf_low, {s6('coalesce(v, high)', 4)} AS error_locf_high, {s6('n', 4)} AS error_n_obs_low FROM rows_of, ends""",
+)
 def ml_missing_aware_inputs(spark, sf):
     rows = train(spark, sf)
     encoder = trees.fit_missing_aware(rows, ("error_locf", "error_n_obs"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from causal_panel.operators.timeline import index_rows
+from causal_panel.sources.ingest import read_panel, refresh_panel
 from causal_panel.sources.panels import content_digest, ingest_audit, read_psv_panel, union_all, with_hour
 from causal_panel.sources.tables import as_json, load_predictions, scan, stage_table, write_csv, write_predictions
 from causal_panel.session import shared_folder
@@ -114,29 +118,54 @@ def src_json_rows(spark, sf):
 )
 def src_psv_round_trip(spark, sf):
     """Panel rows written as pipe-separated files, one per entity, and read back."""
-    import uuid
-    from dataclasses import replace
+    spec, path = _psv_spec(site=None), f"{shared_folder(spark)}/psv-{uuid.uuid4().hex}"
+    _write_psv(panel(spark, sf), path)
+    rows = with_hour(read_psv_panel(spark, path, spec, glob="*.csv", entity_pattern=ENTITY_FOLDER), spec, "clock")
+    return _as_checked(rows)
 
-    spec = replace(SPEC, entity="entity", order="hour", labs=("error",), vitals=("click",), statics=("clock",), site=None)
-    path = f"{shared_folder(spark)}/psv-{uuid.uuid4().hex}"
-    rows = panel(spark, sf).select(
-        F.concat(F.lit("p"), F.col("entity")).alias("entity"), "click", "error", (F.col("idx") + 1).alias("clock"), "y"
-    )
+
+ENTITY_FOLDER = r"/entity=([^/]*)/"
+
+
+def _psv_spec(site):
+    return replace(SPEC, entity="entity", order="hour", labs=("error",), vitals=("click",), statics=("clock",), site=site)
+
+
+def _write_psv(rows, path):
+    """One pipe-separated file per entity, in a folder of its own."""
+    cells = rows.select(F.concat(F.lit("p"), F.col("entity")).alias("entity"), "click", "error", (F.col("idx") + 1).alias("clock"), "y")
     (
-        rows.repartition("entity").sortWithinPartitions("entity", "clock")
-        .write.partitionBy("entity").option("header", True).option("sep", "|").option("nullValue", "NaN")
+        cells.repartition("entity").sortWithinPartitions("entity", "clock")
+        .write.mode("append").partitionBy("entity").option("header", True).option("sep", "|").option("nullValue", "NaN")
         .option("emptyValue", "NaN").csv(path)
     )
-    read = (
-        spark.read.option("sep", "|").option("header", True).option("nullValue", "NaN")
-        .schema("click float, error float, clock float, y float").csv(path)
-    )
-    table_rows = with_hour(read.withColumn("entity", F.regexp_extract(F.col("_metadata.file_path"), r"entity=([^/]*)/", 1)), spec, "clock")
-    return table_rows.select(
-        "entity", "hour", F.col("y").cast("int").alias("y"), F.col("click").cast("double").alias("click"), F.col("error").cast("double").alias("error")
+
+
+def _as_checked(rows, *more):
+    return rows.select(
+        *more, "entity", "hour", F.col("y").cast("int").alias("y"), F.col("click").cast("double").alias("click"), F.col("error").cast("double").alias("error")
     )
 
 
+@query(
+    "src_incremental_panel",
+    f"""WITH {PANEL_SQL} SELECT p.site, 'p' || p.entity AS entity, idx AS hour, y, click::FLOAT::DOUBLE AS click, error::FLOAT::DOUBLE AS error, CASE WHEN p.entity % 3 = 0 THEN 1 WHEN p.entity % 3 = 1 THEN 2 ELSE 3 END AS run
+        FROM panel p""",
+)
+def src_incremental_panel(spark, sf):
+    """Files of a third of the entities at a time, taken up by one run each; every run reads its own files only."""
+    spec, root = _psv_spec(site="site"), f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    sources, out, runs = {site: f"{root}/{site}" for site in ("A", "B")}, f"{root}/panel", None
+    rows = panel(spark, sf)
+    for run in range(3):
+        for site, path in sources.items():
+            _write_psv(rows.where((F.col("site") == site) & (F.col("entity") % 3 == run)), path)
+        changes = refresh_panel(spark, sources, spec, out, "*.csv", ENTITY_FOLDER, "clock")
+        read = changes.select("site", "entity", F.lit(run + 1).alias("run"))
+        runs = read if runs is None else runs.unionByName(read)
+    return _as_checked(read_panel(spark, out, spec).join(runs, ["site", "entity"]), "site", "run")
+
+
 @query("src_content_digest")
 def src_content_digest(spark, sf):
     return content_digest(spark, sf, "*.parquet").select("files", "bytes", "digest")

@@ -1,8 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from causal_panel.operators import splits
 from causal_panel.operators.timeline import index_rows
+from causal_panel.sources.ingest import read_panel, refresh_panel
 from causal_panel.sources.panels import build_panel, content_digest, ingest_audit, read_psv_panel
 from causal_panel.spec import LABS, STATICS, VITALS, PanelSpec, clinical_spec
 
@@ -38,6 +42,40 @@ def test_psv_panel(spark, tmp_path):
     assert content_digest(spark, str(a)).first()["digest"] != first
 
 
+def test_refresh_reads_only_what_changed(spark, tmp_path):
+    a, b, out = tmp_path / "a", tmp_path / "b", str(tmp_path / "panel")
+    a.mkdir(), b.mkdir()
+    for k in range(6):
+        write(a, f"p{k}.psv", k + 1)
+    write(b, "p0.psv", 2)
+    sources = {"A": str(a), "B": str(b)}
+
+    def refresh():
+        changes = refresh_panel(spark, sources, SPEC, out, buckets=4)
+        held = read_panel(spark, out, SPEC).groupBy("hospital", "patient_id").count().collect()
+        return sorted((r.site, r.entity, r.change) for r in changes.collect()), {(r[0], r[1]): r[2] for r in held}
+
+    changes, held = refresh()
+    assert len(changes) == 7 and held == {**{("A", f"p{k}"): k + 1 for k in range(6)}, ("B", "p0"): 2}
+    before = {p: p.stat() for p in Path(out).rglob("*.parquet")}
+    assert refresh() == ([], held) and before == {p: p.stat() for p in Path(out).rglob("*.parquet")}
+
+    # An old file that would be noticed if it were read: same length and time, no rows that parse.
+    old = a / "p1.psv"
+    stat, text = old.stat(), old.read_text()
+    old.write_text("#" * len(text))
+    os.utime(old, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    write(a, "p9.psv", 3), write(a, "p2.psv", 7), (a / "p3.psv").unlink()
+    os.utime(a / "p4.psv", ns=(1, 10**18))  # touched only
+    changes, held = refresh()
+    assert changes == [("A", "p2", "read"), ("A", "p3", "gone"), ("A", "p9", "read")]
+    assert held == {("A", "p0"): 1, ("A", "p1"): 2, ("A", "p2"): 7, ("A", "p4"): 5, ("A", "p5"): 6, ("A", "p9"): 3, ("B", "p0"): 2}
+    for path in [*a.glob("*.psv"), *b.glob("*.psv")]:
+        path.unlink()
+    write(b, "p5.psv", 1)
+    assert refresh()[1] == {("B", "p5"): 1} and refresh()[0] == []
+
+
 def test_index_rows_across_blocks(spark):
     rows = [("a", h) for h in (0, 3, 10, 11, 25, 40)] + [("b", 7)]
     spec = PanelSpec(order="h", vitals=("x",))
