@@ -67,11 +67,12 @@ def distinct_words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     letters, offsets = raw[solid], np.cumsum(sizes) - sizes
     if not len(starts):
         return [], starts, starts
-    place = np.arange(len(letters)) - np.repeat(offsets, sizes)
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.arange(len(letters), dtype=narrow) - np.repeat(offsets.astype(narrow), sizes)
     hashes = np.add.reduceat(_letters[letters] * _places[place & 255], offsets)
     _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     alike = first[which]
-    if (sizes == sizes[alike]).all() and (letters == letters[np.repeat(offsets[alike], sizes) + place]).all():
+    if (sizes == sizes[alike]).all() and (letters == letters[np.repeat(offsets[alike].astype(narrow), sizes) + place]).all():
         return [data[s:s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist())], which, starts
     index: dict[bytes, int] = {}
     which = np.array([index.setdefault(word, len(index)) for word in data.split()])
@@ -90,7 +91,7 @@ class WordTokenizer:
     """
 
     LIMIT = 100_000  # cores in a generation, but for those of one batch
-    BATCH = 1_000_000  # characters whose words are put together at a time
+    BATCH = 2_000_000  # characters whose words are put together at a time
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
     def __init__(self, path: str):
@@ -131,13 +132,15 @@ class WordTokenizer:
         """Ids of every word."""
         if len(self.young) > self.LIMIT:
             self.old, self.young = self.young, {}
-        young, old, marks = self.young, self.old, self.PUNCTUATION
+        young, old, marks, tokenize = self.young, self.old, self.PUNCTUATION, self.model.tokenize
         cores = [word.rstrip(marks) for word in words]
         for core in {c for c, ids in zip(cores, map(young.get, cores)) if ids is None}:
             ids = old.get(core)
             # Up to U+012F every letter is lowered alike by Python and by the tokenizer.
-            if ids is None and core.isalpha() and (core.isascii() or max(core) < "\u0130"):
-                ids = array("I", [t.id for t in self.model.tokenize(core.translate(self.spelling))]).tobytes()
+            if ids is None and core.isalpha():
+                spelled = core.lower() if core.isascii() else core.translate(self.spelling) if max(core) < "\u0130" else None
+                if spelled is not None:
+                    ids = array("I", [t.id for t in tokenize(spelled)]).tobytes()
             if ids is not None:
                 young[core] = ids
         encoded = list(map(young.get, cores))
