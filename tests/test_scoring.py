@@ -101,7 +101,7 @@ def test_bootstrap_draws_n_of_n_entities(spark):
     rows = spark.createDataFrame([(g, e, 0.5) for g, es in groups.items() for e in es for _ in range(2)], "model string, entity string, score double")
     drawn = {}
     for r in bootstrap.entity_draws(rows, "entity", 40, 9, ["model"]).collect():
-        drawn.setdefault(r.model, {})[r._entity] = np.frombuffer(r.times, "u1")
+        drawn.setdefault(r.model, {})[r._entity] = np.frombuffer(r.times, "u1").astype(int)
     for g, es in groups.items():
         total = sum(drawn[g].values())
         assert sorted(drawn[g]) == sorted(es) and (total == len(es)).all()
