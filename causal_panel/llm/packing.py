@@ -90,7 +90,7 @@ class WordTokenizer:
     older one, whose place it takes.
     """
 
-    LIMIT = 100_000  # cores in a generation, but for those of one batch
+    LIMIT = 250_000  # cores in a generation, but for those of one batch
     BATCH = 2_000_000  # characters whose words are put together at a time
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
