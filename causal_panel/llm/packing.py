@@ -29,6 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,36 +49,13 @@ class PackRule:
     end_id: int = 0
 
 
-_chance = np.random.default_rng(6)
-_letters, _places = (_chance.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
-_gap = np.zeros(256, dtype=bool)
-_gap[[9, 10, 11, 12, 13, 32]] = True
-
-
-def distinct_words(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words between ASCII white space, which of them stands at each place, and where in ``data`` each place is.
-
-    Words are grouped by a hash and then compared with the first of their group
-    byte by byte; should a group hold two, which is next to impossible, words are
-    grouped one by one instead.
-    """
-    raw = np.frombuffer(data, np.uint8)
-    solid = ~_gap[raw]
-    edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
-    letters, offsets = raw[solid], np.cumsum(sizes) - sizes
-    if not len(starts):
-        return [], starts, starts
-    narrow = np.int32 if len(data) < 1 << 31 else np.int64
-    place = np.arange(len(letters), dtype=narrow) - np.repeat(offsets.astype(narrow), sizes)
-    hashes = np.add.reduceat(_letters[letters] * _places[place & 255], offsets)
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    alike = first[which]
-    if (sizes == sizes[alike]).all() and (letters == letters[np.repeat(offsets[alike].astype(narrow), sizes) + place]).all():
-        return [data[s:s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist())], which, starts
-    index: dict[bytes, int] = {}
-    which = np.array([index.setdefault(word, len(index)) for word in data.split()])
-    return list(index), which, starts
+def segments(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments ``which`` of ``ids``, which has segments of these sizes, one after the other, and how long each is."""
+    counts = sizes[which]
+    ends, total = np.cumsum(counts), int(counts.sum())
+    narrow = np.int32 if max(len(ids), total) < 1 << 31 else np.int64
+    shifts = ((np.cumsum(sizes) - sizes)[which] - (ends - counts)).astype(narrow)
+    return ids[np.repeat(shifts, counts) + np.arange(total, dtype=narrow)], counts
 
 
 class WordTokenizer:
@@ -91,66 +70,89 @@ class WordTokenizer:
     """
 
     LIMIT = 250_000  # cores in a generation, but for those of one batch
-    BATCH = 2_000_000  # characters whose words are put together at a time
+    BATCH = 4_000_000  # bytes whose words are put together at a time
+    CORES = 10_000  # new cores in one call of the model
     PUNCTUATION = ".,!?*#%&$|;:()\"-"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.spelled = Tokenizer(self.model)  # the model alone, on spelled cores
+        self.spelled.pre_tokenizer = WhitespaceSplit()
+        # Tokens that end a word, by which the ids of many cores are told apart.
+        suffix, vocabulary = self.model.end_of_word_suffix, self.spelled.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # How the model spells each letter below U+0130, upper case as lower case.
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spell(chr(c).lower())[0][0] for c in range(0x130) if chr(c).isalpha()}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of every text."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts after the other, and the number of ids of each; a null text has none."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and size < self.BATCH:
-                some.append(texts[at].encode("utf-8", "surrogatepass"))
-                size += len(some[-1]) + 1
-                at += 1
-            words, which, starts = distinct_words(b" ".join(some))
-            encoded = self._encoded([w.decode("utf-8", "surrogatepass") for w in words])
-            ids = np.frombuffer(b"".join(encoded), "<u4")
-            sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-            counts = sizes[which]
-            ends = np.cumsum(counts)
-            ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - counts), counts) + np.arange(counts.sum())]
-            bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in some]))  # the first word of each text
-            cuts = np.concatenate([[0], ends])[bounds].tolist()
-            for a, b in zip(cuts, cuts[1:]):
-                yield ids[a:b].tobytes()
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of every word."""
+            before = ends[at - 1] if at else 0
+            some = texts.slice(at, int(np.searchsorted(ends, before + self.BATCH)) + 1 - at)
+            at += len(some)
+            split = pc.ascii_split_whitespace(pc.fill_null(some, ""))
+            places = split.flatten().dictionary_encode()
+            ids, counts = segments(*self._encoded(places.dictionary), places.indices.to_numpy())
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])  # the first word of each text
+            yield ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[bounds])
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of every word, one after the other, and the number of ids of each."""
         if len(self.young) > self.LIMIT:
             self.old, self.young = self.young, {}
-        young, old, marks, tokenize = self.young, self.old, self.PUNCTUATION, self.model.tokenize
-        cores = [word.rstrip(marks) for word in words]
-        for core in {c for c, ids in zip(cores, map(young.get, cores)) if ids is None}:
-            ids = old.get(core)
-            # Up to U+012F every letter is lowered alike by Python and by the tokenizer.
-            if ids is None and core.isalpha():
-                spelled = core.lower() if core.isascii() else core.translate(self.spelling) if max(core) < "\u0130" else None
-                if spelled is not None:
-                    ids = array("I", [t.id for t in tokenize(spelled)]).tobytes()
-            if ids is not None:
-                young[core] = ids
-        encoded = list(map(young.get, cores))
+        trimmed = pc.utf8_rtrim(words, self.PUNCTUATION)
+        cores = pc.ascii_lower(trimmed).dictionary_encode()
+        names, core = cores.dictionary.to_numpy(zero_copy_only=False).tolist(), cores.indices.to_numpy()
+        self._learn([name for name, ids in zip(names, map(self.young.get, names)) if ids is None])
+        encoded = [ids or b"" for ids in map(self.young.get, names)]
+
         # What is not a core alone: tails are encoded apart, other words whole.
-        rest = [(k, words[k][len(core):] if encoded[k] else words[k]) for k, core in enumerate(cores) if core is not words[k] or not encoded[k]]
-        parts = list({part for _, part in rest})
-        found = {p: array("I", e.ids).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False))}
-        for k, part in rest:
-            encoded[k] = (encoded[k] or b"") + found[part]
-        return encoded
+        known = np.array([len(e) > 0 for e in encoded], dtype=bool)[core]
+        sizes = pc.binary_length(trimmed).to_numpy()
+        rest = np.flatnonzero(~known | (pc.binary_length(words).to_numpy() > sizes))
+        lengths = [len(name) for name in trimmed.take(pa.array(rest)).to_numpy(zero_copy_only=False)]
+        texts = [word[n:] if k else word for word, n, k in zip(words.take(pa.array(rest)).to_numpy(zero_copy_only=False), lengths, known[rest].tolist())]
+        index: dict[str, int] = {"": 0}
+        tail = np.zeros(len(words), dtype=np.int64)
+        tail[rest] = [index.setdefault(text, len(index)) for text in texts]
+        encoded += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(index), add_special_tokens=False)]
+
+        parts = np.column_stack([core, tail + len(names)]).ravel()
+        ids, counts = segments(np.frombuffer(b"".join(encoded), "<u4"), np.array([len(e) // 4 for e in encoded], np.int64), parts)
+        return ids, counts[::2] + counts[1::2]
+
+    def _learn(self, cores: list[str]) -> None:
+        """Put the ids of those of the cores that are letters into the cache."""
+        new, spelled, young, old = [], [], self.young, self.old
+        for core in cores:
+            if core in old:
+                young[core] = old[core]
+            # Up to U+012F every letter is lowered alike by Python and by the tokenizer.
+            elif core.isalpha() and (core.isascii() or max(core) < "\u0130"):
+                new.append(core)
+                spelled.append(core if core.isascii() else core.translate(self.spelling))
+        for k in range(0, len(new), self.CORES):
+            young.update(zip(new[k:k + self.CORES], self._modelled(spelled[k:k + self.CORES])))
+
+    def _modelled(self, spelled: list[str]) -> list[bytes]:
+        """What the model makes of spelled cores: all in one call, or one by one should their ids not tell them apart."""
+        ids = np.array(self.spelled.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(spelled):
+            return [array("I", [t.id for t in self.model.tokenize(core)]).tobytes() for core in spelled]
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}  # one per worker process
@@ -166,25 +168,34 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, rule: PackRule = PackRule
     readable on every executor.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
-        tokenizer, end, step = _tokenizers[tokenizer_path], np.uint32(rule.end_id).tobytes(), 4 * rule.capacity
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-        for frame in frames:
-            rows = []
-            for doc, raw in zip(frame["doc_id"], tokenizer.encode([t or "" for t in frame["text"]])):
-                raw += end
-                for k in range(0, len(raw), step):
-                    piece = raw[k:k + step]
-                    ids = (np.frombuffer(piece, dtype="<u4").astype(np.int32),) if with_ids else ()
-                    rows.append((doc, k // step, k // 4, len(piece) // 4, zlib.crc32(piece), *ids))
-                if len(rows) >= 2000:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            yield pd.DataFrame(rows, columns=names)
-
-    pieces = docs.select(as_text("doc_id"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
+        for batch in batches:
+            docs, seen = batch.column("doc_id"), 0
+            for ids, counts in _tokenizers[tokenizer_path].encode(batch.column("text")):
+                ends = np.cumsum(counts)
+                ids = np.insert(ids, ends, np.uint32(rule.end_id))
+                counts, begins = counts + 1, ends - counts + np.arange(len(counts))
+                pieces = -(-counts // rule.capacity)
+                doc = np.repeat(np.arange(len(counts)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * rule.capacity
+                length = np.minimum(counts[doc] - start, rule.capacity)
+                raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), 4 * (begins[doc] + start)
+                columns = {
+                    "doc_id": docs.take(pa.array(seen + doc)),
+                    "piece": pa.array(piece, pa.int32()),
+                    "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())], pa.int64()),
+                }
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_pydict(columns)
+                seen += len(counts)
+
+    pieces = docs.select(as_text("doc_id"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

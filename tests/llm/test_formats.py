@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -190,6 +191,33 @@ def test_packed_documents_hold_the_ids_of_the_tokenizer(spark):
     assert [len(r.ids) for r in kept] == [r.length for r in kept]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_new_words_of_a_batch_are_encoded_in_a_few_calls_of_the_model(kind):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    parts = ["an", "Ter", "ö", "ÿes", "ß", "k", "İx", "ﬁ", "ō", "'s", "4", "<|ENDOFTEXT|>", "!", "...", "é", "—", "(", "\x1c", "\xa0"]
+    weights = [9, 9, 5, 5, 2, 9, *[0.2] * 13]
+    texts = ["", None, " \t two  gaps\x0b", *(rng.choice(" \n\r").join("".join(rng.choices(parts, weights, k=rng.randint(1, 6))) for _ in range(rng.randint(0, 300))) for _ in range(90)), None, "\f"]
+    plain = Tokenizer.from_file(tokenizer_path())
+    wanted = [plain.encode(text or "", add_special_tokens=False).ids for text in texts]
+    tokenizer = packing.WordTokenizer(tokenizer_path())
+    tokenizer.model, tokenizer.BATCH, tokenizer.LIMIT, tokenizer.CORES = None, 9000, 700, 300  # no call for a single word
+
+    def encoded(array):
+        found = []
+        for ids, counts in tokenizer.encode(array):
+            found += [part.tolist() for part in np.split(ids, np.cumsum(counts))[:-1]]
+        return found
+
+    array = pa.array(texts, kind)
+    assert encoded(array) == wanted and encoded(array.slice(7, 50)) == wanted[7:57] and encoded(array[:0]) == []
+    assert tokenizer.old and encoded(pa.array([None, None], kind)) == [[], []]
+    tokenizer = packing.WordTokenizer(tokenizer_path())
+    tokenizer.last[:] = False  # a model without a mark at the end of words
+    assert encoded(array) == wanted
+
+
 # -- embeddings
 
 
