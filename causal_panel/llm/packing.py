@@ -114,11 +114,11 @@ class WordTokenizer:
         trimmed = pc.utf8_rtrim(words, self.PUNCTUATION)
         cores = pc.ascii_lower(trimmed).dictionary_encode()
         names, core = cores.dictionary.to_numpy(zero_copy_only=False).tolist(), cores.indices.to_numpy()
-        self._learn([name for name, ids in zip(names, map(self.young.get, names)) if ids is None])
-        encoded = [ids or b"" for ids in map(self.young.get, names)]
+        encoded = list(map(self.young.get, names))
+        self._learn(names, encoded)
 
         # What is not a core alone: tails are encoded apart, other words whole.
-        known = np.array([len(e) > 0 for e in encoded], dtype=bool)[core]
+        known = np.fromiter(map(bool, encoded), bool, len(encoded))[core]
         sizes = pc.binary_length(trimmed).to_numpy()
         rest = np.flatnonzero(~known | (pc.binary_length(words).to_numpy() > sizes))
         lengths = [len(name) for name in trimmed.take(pa.array(rest)).to_numpy(zero_copy_only=False)]
@@ -129,21 +129,24 @@ class WordTokenizer:
         encoded += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(index), add_special_tokens=False)]
 
         parts = np.column_stack([core, tail + len(names)]).ravel()
-        ids, counts = segments(np.frombuffer(b"".join(encoded), "<u4"), np.array([len(e) // 4 for e in encoded], np.int64), parts)
+        ids, counts = segments(np.frombuffer(b"".join(encoded), "<u4"), np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4, parts)
         return ids, counts[::2] + counts[1::2]
 
-    def _learn(self, cores: list[str]) -> None:
-        """Put the ids of those of the cores that are letters into the cache."""
+    def _learn(self, cores: list[str], encoded: list[bytes | None]) -> None:
+        """Fill in what is missing: the ids of cores that are letters, which go to the cache, and none for others."""
         new, spelled, young, old = [], [], self.young, self.old
-        for core in cores:
-            if core in old:
-                young[core] = old[core]
+        for k in [k for k, ids in enumerate(encoded) if ids is None]:
+            core = cores[k]
+            encoded[k] = ids = old.get(core, b"")
+            if ids:
+                young[core] = ids
             # Up to U+012F every letter is lowered alike by Python and by the tokenizer.
             elif core.isalpha() and (core.isascii() or max(core) < "\u0130"):
-                new.append(core)
+                new.append(k)
                 spelled.append(core if core.isascii() else core.translate(self.spelling))
-        for k in range(0, len(new), self.CORES):
-            young.update(zip(new[k:k + self.CORES], self._modelled(spelled[k:k + self.CORES])))
+        for at in range(0, len(new), self.CORES):
+            for k, ids in zip(new[at:at + self.CORES], self._modelled(spelled[at:at + self.CORES])):
+                encoded[k] = young[cores[k]] = ids
 
     def _modelled(self, spelled: list[str]) -> list[bytes]:
         """What the model makes of spelled cores: all in one call, or one by one should their ids not tell them apart."""
