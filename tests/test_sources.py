@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from causal_panel.operators import splits
 from causal_panel.operators.timeline import index_rows
 from causal_panel.sources.ingest import read_panel, refresh_panel
-from causal_panel.sources.panels import build_panel, content_digest, ingest_audit, read_psv_panel
+from causal_panel.sources.panels import build_panel, content_digest, densify, ingest_audit, read_psv_panel
 from causal_panel.spec import LABS, STATICS, VITALS, PanelSpec, clinical_spec
 
 SPEC = clinical_spec()
@@ -97,3 +97,38 @@ def test_splits_and_folds(spark):
     assert by_row.where("split = 'train'").count() == 300 and by_row.count() == 400
     kept = splits.downsample_negatives(panel, "y", ["entity", "h"], 25, 1)
     assert kept.where("y = 1").count() == 20 and kept.where("y = 0").count() == 95
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, "e string, at string, a double, b double").select("e", F.col("at").cast("timestamp_ntz").alias("at"), "a", "b")
+
+
+def _dense(records, chunk, attach=None):
+    return densify(records, "e", "at", {c: F.col(c) for c in ("a", "b")}, chunk, attach)
+
+
+@pytest.mark.parametrize("chunk", [3, 4, 100])
+def test_hours_between_records_are_filled(spark, chunk):
+    day = "2024-01-01"
+    records = _records(spark, [
+        ("x", f"{day} 01:10:00", 1.0, None), ("x", f"{day} 01:40:00", None, 2.0), ("x", f"{day} 01:50:00", 3.0, None), ("x", f"{day} 04:00:00", 4.0, None),
+        ("x", f"{day} 15:30:00", None, 5.0), ("y", f"{day} 07:59:59", 6.0, None), (None, f"{day} 02:00:00", 7.0, 8.0), (None, f"{day} 04:00:00", 7.0, 8.0),
+        ("z", None, 9.0, 9.0), ("y", None, 9.0, 9.0),
+    ])
+    found = {(r.e, r.idx): (r.h.hour, r.a, r.b) for r in _dense(records, chunk).collect()}
+    held = {("x", 0): (3.0, 2.0), ("x", 3): (4.0, None), ("x", 14): (None, 5.0), ("y", 0): (6.0, None)}
+    # A missing entity has hours, but nothing is looked up by it; records without a time are in no hour.
+    spans = [("x", 1, 15), ("y", 7, 1), (None, 2, 3)]
+    assert found == {(e, i): (h + i, *held.get((e, i), (None, None))) for e, h, n in spans for i in range(n)}
+    assert _dense(records, chunk).count() == 19
+
+
+def test_hours_without_records_do_not_travel(spark):
+    """What is joined to hours is joined to those with records; filling the gaps is the last step, without shuffles or joins behind it."""
+    records = _records(spark, [("x", "2024-01-01 01:00:00", 1.0, None), ("x", "2024-01-01 05:00:00", 2.0, None), ("y", "2024-01-01 01:00:00", 3.0, None)])
+    people = spark.createDataFrame([("x", "A"), ("x", "B")], "e string, site string")
+    rows = _dense(records, 3, lambda hours: hours.join(people, "e"))
+    assert sorted((r.e, r.idx, r.site, r.a) for r in rows.collect()) == sorted(("x", i, s, {0: 1.0, 4: 2.0}.get(i)) for i in range(5) for s in "AB")
+    for plan in (rows, _dense(records, 3)):
+        above = plan._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+        assert "Join" not in above and "Repartition" not in above
