@@ -63,3 +63,14 @@ def test_platt_scores_without_vectors(spark):
     got = {key(r.score): r.calibrated for r in found.collect()}
     assert got.pop("") is None  # as with isotonic maps
     assert got == pytest.approx({key(r.score): r.p for r in whole.collect()}, abs=1e-14)
+
+
+def test_lines_are_moved_as_they_are_stored(spark, tmp_path):
+    """Orders are brought together before the columns of the snapshot are worked out."""
+    lines = [(o, n + 1, 3.0 * n + o, 100.5 * o + n, 0.01 * n, 0.02, "F" if o % 2 else "O") for o in range(1, 9) for n in range(o % 4 + 1)]
+    schema = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    built = entry.queries()["prj_build_clinical"](spark, str(tmp_path))
+    assert sorted((r.l_orderkey, r.l_linenumber) for r in built.collect()) == sorted(row[:2] for row in lines)
+    sent = optimized(built).split("RepartitionByExpression")
+    assert len(sent) > 1 and not any("CASE WHEN" in part.split("RelationV2")[0].split("Relation [")[0].partition("\n")[2] for part in sent[1:2])
